@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidscan.llm import bpe, line_dedup
+from braidscan.llm import bpe, line_dedup, ngram_join
 from braidscan.runtime import table
 
 #: Folder of the public tokenizers' files.
@@ -53,8 +53,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_bpe, op8_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
