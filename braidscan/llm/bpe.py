@@ -17,6 +17,7 @@ Defined cases
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 #: Characters of a text handled at a time; entries a worker's cache holds per generation.
 SLICE_CHARS, CACHE_ENTRIES = 1 << 16, 250_000
 END = "</w>"
+#: Chunks beyond this many characters are never held packed as a whole.
+_LONG = 4 * SLICE_CHARS
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -86,22 +90,21 @@ class MergeTable:
         self.lookahead = sufficient_lookahead(merges, lambda t: len(t.removesuffix(END)))
 
     def merged(self, parts: list[str]) -> list[str]:
-        """Lowest rank first, leftmost first among equals."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            scored = [ranks.get(p, 1 << 30) for p in zip(parts, parts[1:])]
+        """Lowest rank first, leftmost first among equals; only the two neighbours of a merge change rank."""
+        rank = self.ranks.get
+        none = len(self.ranks)
+        scored = [rank(p, none) for p in zip(parts, parts[1:])]
+        while scored:
             best = min(scored)
-            if best == 1 << 30:
+            if best == none:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i < n - 1 and scored[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = scored.index(best)
+            parts[i] += parts.pop(i + 1)
+            del scored[i]
+            if i:
+                scored[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(scored):
+                scored[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
 
@@ -178,28 +181,58 @@ class WordBpe:
         self.blank = regex.compile(r"\p{White_Space}+")
         self.alphabet = byte_alphabet()
         self.names = {i: t for t, i in self.table.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.words: dict[str, tuple[str, ...]] = {}
         self.fresh: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
     def tokens_of(self, piece: str) -> Iterator[str]:
+        """The tokens of one word, streamed where it is long."""
         word = Transducer(self.table)
         for at in range(0, len(piece), SLICE_CHARS):
             yield from word.feed("".join(map(self.alphabet.__getitem__, piece[at : at + SLICE_CHARS].encode())))
         yield from word.finish()
 
+    def _short(self, piece: str) -> list[str]:
+        """Like tokens_of for a word that one step of the transducer holds whole."""
+        parts = list(piece) if piece.isascii() else list(map(self.alphabet.__getitem__, piece.encode()))
+        parts[-1] += END
+        return self.table.merged(parts)
+
     def _chunk_tokens(self, chunk: str) -> Iterator[str]:
         for m in self.pieces.finditer(chunk):
-            yield from self.tokens_of(m[0])
+            piece = m[0]
+            if len(piece) > 64 or not piece.isprintable():
+                yield from self.tokens_of(piece)
+            else:
+                yield from self._short(piece)
+
+    def _word(self, piece: str) -> tuple[str, ...]:
+        """A short word's tokens, from the second cache: words recur with other punctuation."""
+        found = self.words.get(piece)
+        if found is None:
+            found = tuple(self._short(piece))
+            if len(self.words) >= CACHE_ENTRIES // 2:
+                self.words = {}
+            self.words[piece] = found
+        return found
+
+    def _miss(self, chunk: str) -> tuple[bytes, str]:
+        if len(chunk) > 64 or not chunk.isprintable():
+            return self._packed(self._chunk_tokens(chunk))
+        tokens: list[str] = []
+        for piece in self.pieces.findall(chunk):
+            tokens += self._word(piece)
+        return self._packed(tokens)
 
     def _packed(self, tokens: Iterable[str]) -> tuple[bytes, str]:
         vocab = self.table.vocab
         kept = [t for t in tokens if t in vocab]
-        return struct.pack(f"<{len(kept)}I", *(vocab[t] for t in kept)), " ".join(kept)
+        return array.array("I", [vocab[t] for t in kept]).tobytes(), " ".join(kept)
 
     def _cached(self, chunk: str) -> tuple[bytes, str]:
         found = self.old.get(chunk)
         if found is None:
-            found = self._packed(self._chunk_tokens(chunk))
+            found = self._miss(chunk)
         if len(chunk) <= 64:
             if len(self.fresh) >= CACHE_ENTRIES:
                 self.old, self.fresh = self.fresh, {}
@@ -223,47 +256,48 @@ class WordBpe:
             yield text[at:to]
             at = to
 
-    def _segment(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def _segment(self, text: str) -> Iterator[list[tuple[bytes, str]]]:
         for part in self._slices(text):
             low = self._normal(part)
-            split_alike = not regex.search(r"[\x1c-\x1f]", low)
-            chunks = low.split() if split_alike else self.blank.split(low)
-            fresh = self.fresh
-            for c in chunks:
-                if c:
-                    if len(c) > 4 * SLICE_CHARS:
+            if _SEPARATORS.search(low):
+                chunks = [c for c in self.blank.split(low) if c]
+            else:
+                chunks = low.split()
+            if any(map(_LONG.__lt__, map(len, chunks))):
+                for c in chunks:
+                    if len(c) > _LONG:
                         yield from self._long(c)
                     else:
-                        got = fresh.get(c)
-                        if got is None:
-                            got = self._cached(c)
-                            fresh = self.fresh
-                        if got[0]:
-                            yield got
-
-    def _long(self, chunk: str) -> Iterator[tuple[bytes, str]]:
+                        yield [self._cached(c)]
+                continue
+            got = list(map(self.fresh.get, chunks))
+            if None in got:
+                got = [g or self._cached(c) for g, c in zip(got, chunks)]
+            yield got
+
+    def _long(self, chunk: str) -> Iterator[list[tuple[bytes, str]]]:
         held: list[str] = []
         for t in self._chunk_tokens(chunk):
             held.append(t)
             if len(held) == 4096:
-                yield self._packed(held)
+                yield [self._packed(held)]
                 held = []
         if held:
-            yield self._packed(held)
+            yield [self._packed(held)]
 
-    def stream(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, their strings joined by blanks), part by part."""
+    def stream(self, text: str) -> Iterator[list[tuple[bytes, str]]]:
+        """Lists of (ids as little-endian 32-bit integers, their strings joined by blanks), part by part."""
         if self.specials is None or not self.specials.search(text):
             yield from self._segment(text)
             return
         for part in self.specials.split(text):
             if part in self.special:
-                yield struct.pack("<I", self.special[part]), part
+                yield [(struct.pack("<I", self.special[part]), part)]
             elif part:
                 yield from self._segment(part)
 
     def encode(self, text: str | None) -> list[int]:
-        raw = b"".join(x[0] for x in self.stream(text or ""))
+        raw = b"".join([x[0] for part in self.stream(text or "") for x in part])
         return list(struct.unpack(f"<{len(raw) // 4}I", raw))
 
     def decode(self, ids: Iterable[int], spaced: bool = True) -> str:
@@ -273,24 +307,15 @@ class WordBpe:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Token count and the two hashes, from parts of bounded size."""
-        n, ids, words, first, held = 0, hashlib.sha256(), hashlib.sha256(), True, []
+        n, ids, words, glue = 0, hashlib.sha256(), hashlib.sha256(), ""
         for part in self.stream(text or ""):
-            held.append(part)
-            if len(held) >= 8192:
-                n, first = self._drain(held, n, ids, words, first)
-                held = []
-        n, first = self._drain(held, n, ids, words, first)
+            raw = b"".join([x[0] for x in part])
+            if raw:
+                ids.update(raw)
+                words.update((glue + " ".join([x[1] for x in part if x[0]])).encode())
+                n, glue = n + len(raw) // 4, " "
         return n, ids.hexdigest(), words.hexdigest()
 
-    @staticmethod
-    def _drain(held, n, ids, words, first):
-        if held:
-            raw = b"".join([h[0] for h in held])
-            ids.update(raw)
-            words.update((("" if first else " ") + " ".join([h[1] for h in held])).encode())
-            n, first = n + len(raw) // 4, False
-        return n, first
-
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
