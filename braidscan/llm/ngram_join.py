@@ -12,12 +12,14 @@ candidate.
 2. Heads are merged by hash range. Every document learns how many documents hold each
    head shingle. Copies within a task combine first, so a frequent shingle sends one
    entry for each chunk of documents, not for each document.
-3. A document with too few shared head shingles links with nothing and leaves. The others
-   keep their rarest head shingles, as many as one must be shared: the short lists.
+3. A document with too few shared head shingles links with nothing and leaves. Of the
+   others, one of each set of equal texts goes through 2. again with its whole set; those
+   with T shared shingles keep as many of the rarest as one must be shared: the short lists.
 4. Equal sets are one class. For each short list (by size band), a few pivots are probed
-   against its members, then, among lists that still touch several groups, all pairs
-   across groups. Links inside a group add nothing, so groups of thousands of copies cost
-   a few probes per member. No link between groups is lost.
+   against its members. Links inside a group add nothing more, so groups of thousands of
+   copies cost a few probes per member. Lists that still touch several groups are searched
+   to the end, block against block: merge the short lists, probe the long ones, and keep
+   one link for each two groups. No link between groups is lost.
 
 Defined cases
   null or empty text, no word   n_shingles 0, its own component, linked with nothing
@@ -45,6 +47,8 @@ from braidscan.runtime import Scratch
 WORDS, PERCENT = 4, 85
 #: Documents and head entries of a chunk; pivots probed for each short list.
 CHUNK_DOCS, CHUNK_ENTRIES, PIVOTS = 4096, 600_000, 3
+#: Documents of a block in the last search.
+BLOCK_DOCS = 256
 
 
 def missing(n, percent: int):
@@ -84,7 +88,7 @@ def _sets(batch: pa.RecordBatch, k: int):
 _CHUNKS = "chunk long, ids binary, sizes binary, fp binary, head_sizes binary, heads binary"
 
 
-def _chunks(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _chunks(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64())] + [(c, pa.binary()) for c in ("ids", "sizes", "fp", "head_sizes", "heads")])
 
     def run(batches):
@@ -101,7 +105,7 @@ def _chunks(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for b in batches:
             for i, s in _sets(b, k):
                 n = len(s)
-                head = s[: min(n, 2 * missing(n, percent) + 1)]
+                head = s if whole else s[: min(n, 2 * missing(n, percent) + 1)]
                 ids.append(i)
                 sizes.append(n)
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -156,7 +160,7 @@ def _shared_heads(chunks: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(merge, "chunk long, hashes binary, counts binary")
 
 
-def _short_lists(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFrame:
+def _short_lists(chunks: DataFrame, replies: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """(doc_id, n, fp, rare): documents that may have partners, with their shortest lists' shingles."""
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -175,7 +179,7 @@ def _short_lists(chunks: DataFrame, replies: DataFrame, percent: int) -> DataFra
             where = np.minimum(np.searchsorted(h, heads), len(h) - 1)
             seen = np.where(h[where] == heads, df[where], 1).astype(np.int64)
             some = np.concatenate(([0], np.cumsum(seen >= 2)))
-            need = np.array([least_shared(int(n), percent) for n in sizes])
+            need = np.array([int(n) - missing(int(n), percent) if whole else least_shared(int(n), percent) for n in sizes])
             fp = left["fp"][r].as_py()
             for j in np.flatnonzero((some[at[1:]] - some[at[:-1]] >= need) & (sizes > 0)):
                 a, z = at[j], at[j + 1]
@@ -225,6 +229,69 @@ def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _search_blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different groups that share an open list, in tasks of bounded size.
+
+    Documents that open lists tie together are dealt to blocks of about BLOCK_DOCS; every two
+    blocks that meet in a list are searched against each other. One row per document and
+    pair of blocks moves, however many lists the two blocks share.
+    """
+    first = open_.groupBy("h", "band").agg(F.min("doc_id").alias("least"))
+    ties = open_.join(first, ["h", "band"]).select("doc_id", "least").distinct()
+    knots = connected_components(ties, "doc_id", "least").select(F.col("node").alias("doc_id"), F.col("component").alias("knot"))
+    sizes = knots.groupBy("knot").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    dealt = scratch.put(knots.join(sizes, "knot").select("doc_id", "knot", block), "dealt")
+    meets = open_.join(dealt, "doc_id").groupBy("h", "band", "knot", "block").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    other = meets.select("h", "band", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    tasks = (
+        meets.join(other, ["h", "band"])
+        .filter((F.col("block") <= F.col("j")) & ((F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi"))))
+        .select("knot", F.col("block").alias("i"), "j")
+        .distinct()
+    )
+    # One side of a task or both, by the block a document is in.
+    sides = tasks.select("knot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    docs = open_.groupBy("doc_id", "g").agg(F.collect_set("h").alias("rare")).join(dealt, "doc_id").join(sets, "doc_id")
+    return sides.join(docs, ["knot", "block"]).groupBy("knot", "i", "j").applyInArrow(_searcher(percent), "a long, b long")
+
+
+def _searcher(percent: int):
+    def search(t: pa.Table) -> pa.Table:
+        ids, block = t["doc_id"].to_numpy(), t["block"].to_numpy()
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        rare = [np.array(x.as_py(), np.int64) for x in t["rare"]]
+        root = t["g"].to_numpy().copy()
+        # The inverted lists of block j, sorted, and the queries of block i.
+        held = np.flatnonzero(block == j)
+        h = np.concatenate([rare[d] for d in held]) if len(held) else np.zeros(0, np.int64)
+        owner = np.repeat(held, [len(rare[d]) for d in held])
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        out_a, out_b = [], []
+        for q in np.flatnonzero(block == i):
+            lo, hi = np.searchsorted(h, rare[q]), np.searchsorted(h, rare[q], "right")
+            near = np.unique(np.concatenate([owner[x:y] for x, y in zip(lo, hi)])) if len(lo) else owner[:0]
+            near = near[(sizes[near] * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes[near] * percent)]
+            if i == j:
+                near = near[near > q]
+            for c in near:
+                if root[c] == root[q]:
+                    continue
+                s, u = (sets[q], sets[c]) if sizes[q] <= sizes[c] else (sets[c], sets[q])
+                at = np.minimum(np.searchsorted(u, s), len(u) - 1)
+                common = int(np.count_nonzero(u[at] == s))
+                if 100 * common >= percent * (len(s) + len(u) - common):
+                    out_a.append(ids[q])
+                    out_b.append(ids[c])
+                    root[root == root[c]] = root[q]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return search
+
+
 def _set_table(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
@@ -251,17 +318,21 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     chunks = scratch.put(_chunks(docs, words, percent), "chunks")
-    alive = scratch.put(_short_lists(chunks, _shared_heads(chunks, parts), percent), "alive")
+    alive = scratch.put(_short_lists(chunks, _shared_heads(chunks, parts), percent).select("doc_id", "n", "fp"), "alive")
     members = scratch.put(_members(chunks), "members")
     scratch.drop("chunks")
 
     filled = members.filter("n > 0")
     classes = filled.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     copies = filled.join(classes, ["fp", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    reps = alive.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()
+
+    # Among one text of each class the whole sets decide; what loses its partners leaves, and takes lists with it.
+    full = scratch.put(_chunks(docs.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), words, percent, whole=True), "full")
+    left = scratch.put(_short_lists(full, _shared_heads(full, parts), percent, whole=True), "left")
     # A list is cut by bands of size: partners' sizes lie in one band or in neighbouring ones.
     ratio = F.log(F.lit(100.0 / percent))
-    reps = alive.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + F.lit(1e-9)))
+    banded = left.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + F.lit(1e-9)))
     lists = banded.select("doc_id", "n", F.explode("rare").alias("h"), "band").select("doc_id", "n", "h", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     order = [F.xxhash64(F.lit(p), F.col("doc_id")) for p in range(PIVOTS)]
     pivots = lists.groupBy("h", "band").agg(F.count("*").alias("members"), F.array(*[F.min_by(F.struct("doc_id", "n"), o) for o in order]).alias("pivots"))
@@ -281,21 +352,12 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     tried = scratch.put(tried, "tried")
     links = scratch.put(_probe(tried, sets, percent), "links")
 
-    # What the pivots left: pairs across groups that share a short list.
+    # What the pivots left: documents of different groups that still share a short list.
     group = connected_components(links, "a", "b") if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
-    held = lists.select("doc_id", "n", "h", "band").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
+    held = lists.select("doc_id", "h", "band").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
     mixed = held.groupBy("h", "band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h", "band")
-    open_ = scratch.put(held.join(mixed, ["h", "band"]).select("doc_id", "n", "h", "band", "g"), "open")
-    other = open_.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "h", "band", F.col("g").alias("g2"))
-    across = (
-        open_.withColumnRenamed("doc_id", "a")
-        .join(other, ["h", "band"])
-        .filter((F.col("a") < F.col("b")) & (F.col("g") != F.col("g2")) & near("n", "m"))
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = scratch.put(_probe(across, sets, percent), "more")
+    open_ = scratch.put(held.join(mixed, ["h", "band"]).select("doc_id", "h", "band", "g"), "open")
+    more = scratch.put(_search_blocks(scratch, open_, sets, percent), "more")
     edges = links.unionByName(more).unionByName(copies)
     found = connected_components(scratch.put(edges, "edges"), "a", "b")
     return (
