@@ -161,3 +161,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int
     return scored.select(
         "doc_id", F.coalesce(fold_of == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:
+    """The rows of docs, whole, that the classifier does not reject."""
+    stats = Scratch(docs.sparkSession, "quality").put(statistics_table(docs), "stats")
+    model = fit(stats, labels.select("doc_id", "quality"), F.crc32(F.col("doc_id").cast("string")) % fold != held)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            done = 0
+            for ids, texts in _batches(pa.RecordBatch.from_arrays([pa.array(range(b.num_rows)), b.column(at)], names=["row", "text"])):
+                good = model.score(statistics(texts)) >= 0.5
+                yield b.slice(done, len(ids)).filter(pa.array(good))
+                done += len(ids)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidscan.llm import bpe, langid, line_dedup, ngram_join, quality, topk, urlfilter
+from braidscan.llm import bpe, decontam, langid, line_dedup, lm, ngram_join, pseudonyms, quality, topk, urlfilter
 from braidscan.runtime import table
 
 #: Folder of the public tokenizers' files.
@@ -49,14 +49,26 @@ FROM m GROUP BY doc_id
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -87,7 +99,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_bpe, op5_url_filter, op7_language_id, op8_ngram_join, op9_topk, op10_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_bpe, op4_lm_score, op5_url_filter, op6_decontamination, op7_language_id, op8_ngram_join, op9_topk, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
