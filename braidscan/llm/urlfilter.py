@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidscan.llm.counts import frequent
 from braidscan.llm.ngram_join import _batches
 
 # The rules of the contract, (verdict, host and path).
@@ -85,7 +86,7 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
             yield rows(c)
 
     counted = pages.select("page_id", "html").mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()
+    top = frequent(counted, F.col("n"), VOCABULARY)
     return {r["word"]: r["n"] for r in top}
 
 
@@ -154,8 +155,7 @@ def _token_counts(urls: DataFrame, segmenter: Segmenter) -> tuple[dict[str, tupl
             yield rows()
 
     counted = urls.select("host", "path").mapInArrow(partial, "token string, bad int, n long").groupBy("token").pivot("bad", [0, 1]).agg(F.sum("n")).na.fill(0)
-    top = counted.withColumn("n", F.col("0") + F.col("1")).orderBy((F.col("token") != "").cast("int"), F.col("n").desc(), "token").limit(VOCABULARY + 1).collect()
-    counts = {r["token"]: (r["0"], r["1"]) for r in top}
+    counts = {r["token"]: (r["0"], r["1"]) for r in frequent(counted, F.col("0") + F.col("1"), VOCABULARY)}
     return counts, counts.pop("", (0, 0))
 
 
