@@ -28,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidscan.llm.counts import frequent
 from braidscan.llm.ngram_join import _batches
 from braidscan.runtime import Scratch
 
 #: Words of the model (with the end mark), words of a class, words whose counts travel to the tasks.
-MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 1024, 32, 100_000
+MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 256, 32, 200_000
 #: Tail classes by shape; units; lanes; steps of a window; tokens packed at once.
-TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 20, 256, 12, 1_500_000
+TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 16, 192, 20, 3_000_000
 #: Bounded sample of the warm start; its passes; how many weight sums meet on the driver.
 WARM_TOKENS, WARM_PASSES, AVERAGES = 400_000, 2, 8
 #: Distinct words a worker counts before it lets go.
@@ -292,18 +293,37 @@ class Gru:
         return scores
 
 
-def _packs(batches, lexicon: Lexicon):
-    """Documents read until PACK_TOKENS are together: lists of (doc_id, what Lexicon.read gives)."""
+def _encoded(docs: DataFrame, lexicon) -> DataFrame:
+    """A row for each text: its model ids (16 bits each), sums over known words, and its rare words."""
+    rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("rare", rare_type)])
+
+    def run(batches):
+        lex, seq = lexicon.value, TaskContext.get().partitionId() << 40
+        for b in batches:
+            for doc_ids, texts in _batches(b):
+                rows = []
+                for i, t in zip(doc_ids, texts):
+                    ids, base, tail, known, rare = lex.read(t)
+                    rows.append((seq, i, ids.astype(np.uint16).tobytes(), known, base, tail, [(x.decode(), k) for x, k in rare.items()]))
+                    seq += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    ddl = "row long, doc_id long, ids binary, known long, base double, tail double, rare array<struct<word:string,k:long>>"
+    return docs.mapInArrow(run, ddl)
+
+
+def _packs(batches):
+    """Encoded texts read until PACK_TOKENS are together: lists of (row, ids)."""
     held, size = [], 0
     for b in batches:
-        for ids, texts in _batches(b):
-            for i, t in zip(ids, texts):
-                got = lexicon.read(t)
-                held.append((i, got))
-                size += len(got[0])
-                if size >= PACK_TOKENS:
-                    yield held
-                    held, size = [], 0
+        for row, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            ids = np.frombuffer(raw.as_py(), np.uint16).astype(np.int32)
+            held.append((row, ids))
+            size += len(ids)
+            if size >= PACK_TOKENS:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -320,29 +340,26 @@ def _unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, lexicon: Lexicon) -> Gru:
-    """The warm start, then one averaged pass over all of docs."""
-    spark = docs.sparkSession
-    sample, size, seen = [], 0, docs.select("text").limit(4000)
-    for r in seen.toLocalIterator():
-        ids = lexicon.read((r["text"] or "").encode())[0]
-        sample.append(ids)
-        size += len(ids)
+def train(encoded: DataFrame) -> Gru:
+    """The warm start, then one averaged pass over all of the encoded texts."""
+    spark = encoded.sparkSession
+    sample, size = [], 0
+    for r in encoded.select("ids").limit(4000).toLocalIterator():
+        sample.append(np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int32))
+        size += len(sample[-1])
         if size >= WARM_TOKENS:
             break
     gru = Gru()
     for p in range(WARM_PASSES):
         gru.run(sample, 0.01 / (p + 1))
-    start = spark.sparkContext.broadcast((gru.w, lexicon))
+    start = spark.sparkContext.broadcast(gru.w)
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def local(batches):
-        w, lex = start.value
-        own, n = Gru({k: v.copy() for k, v in w.items()}), 0
-        for pack in _packs(batches, lex):
-            texts = [got[0] for _, got in pack]
-            own.run(texts, 0.003)
-            n += sum(map(len, texts))
+        own, n = Gru({k: v.copy() for k, v in start.value.items()}), 0
+        for pack in _packs(batches):
+            own.run([ids for _, ids in pack], 0.003)
+            n += sum(len(ids) for _, ids in pack)
         if n:
             slot = TaskContext.get().partitionId() % AVERAGES
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([(_flat(own.w) * n).tobytes()], pa.binary())], schema=schema)
@@ -357,7 +374,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Gru:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    sums = docs.select("doc_id", "text").mapInArrow(local, "slot int, n long, weights binary").repartition(AVERAGES, "slot").mapInArrow(add, "slot int, n long, weights binary")
+    sums = encoded.select("row", "ids").mapInArrow(local, "slot int, n long, weights binary").repartition(AVERAGES, "slot").mapInArrow(add, "slot int, n long, weights binary")
     total, n = None, 0
     for r in sums.collect():
         v = np.frombuffer(bytes(r["weights"]), np.float64)
@@ -388,47 +405,37 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     counts = scratch.put(count_words(learns), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    top = [(r["word"], r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(KNOWN_WORDS).collect()]
+    top = [(r["word"], r["c"]) for r in frequent(counts, F.col("c"), KNOWN_WORDS)]
     model_words = [w for w, _ in top if w][: MODEL_WORDS - 1]
     skip = spark.createDataFrame([(w,) for w in model_words], "word string")
     lexicon = Lexicon(top, total, distinct, _tail_sums(counts, skip))
-    gru = train(learns, lexicon)
+    part = scratch.put(_encoded(docs, spark.sparkContext.broadcast(lexicon)), "encoded")
+    gru = train(part.filter(fold_of != held))
 
-    shared = spark.sparkContext.broadcast((gru.w, lexicon))
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", rare_type)])
+    shared = spark.sparkContext.broadcast((gru.w, lexicon.tail_log))
+    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("model", pa.float64())])
 
     def run(batches):
-        w, lex = shared.value
-        net, seq = Gru(w), TaskContext.get().partitionId() << 40
-        per_token = math.log10(lex.total + lex.distinct + 1)
-        for pack in _packs(batches, lex):
-            logs = net.run([got[0] for _, got in pack]) / math.log(10)
-            rows = []
-            for (i, (ids, base, tail, known, rare)), s in zip(pack, logs):
-                in_tail = ids[ids >= MODEL_WORDS] - MODEL_WORDS
-                inside = tail - float(lex.tail_log[in_tail].sum())
-                rows.append((seq, i, len(ids), known, base - len(ids) * per_token, float(s) + inside, [{"word": x.decode(), "k": k} for x, k in rare.items()]))
-                seq += 1
-                if len(rows) == 1024:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    ddl = "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<struct<word:string,k:long>>"
-    part = scratch.put(docs.mapInArrow(run, ddl), "partial")
+        w, tail_log = shared.value
+        net = Gru(w)
+        for pack in _packs(batches):
+            logs = net.run([ids for _, ids in pack]) / math.log(10)
+            inside = [float(tail_log[ids[ids >= MODEL_WORDS] - MODEL_WORDS].sum()) for _, ids in pack]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pack], pa.int64()), pa.array([len(ids) for _, ids in pack], pa.int64()), pa.array(logs - np.array(inside))], schema=schema)
+
+    scored = scratch.put(part.select("row", "ids").mapInArrow(run, "row long, n_tokens long, model double"), "scored")
     # Words beyond the known ones meet their counts in a join; frequent words never get here.
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(counts, "word")
     added = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("seen"))
-    out = part.drop("rare").join(added, "row", "left")
+    out = part.select("row", "doc_id", "known", "base", "tail").join(scored, "row").join(added, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
+    per_token = math.log10(total + distinct + 1)
     return out.select(
         "doc_id",
         F.coalesce(fold_of == held, F.lit(False)).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
+        (F.col("model") + F.col("tail") + more).alias("score"),
     )
