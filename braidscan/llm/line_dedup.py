@@ -81,7 +81,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("first"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    facts = F.broadcast(facts.select("h1", "h2", "first").limit(HOT_ITEMS * 8))
+    facts = F.broadcast(facts.select("h1", "h2", "first"))  # one row for each of the HOT_ITEMS hashes
     dropped_hot = frequent.join(facts, ["h1", "h2"]).filter(F.col("doc_id") != F.col("first"))
 
     # All others: range partition by hash, secondary sort by document and position, stream.
