@@ -1,7 +1,9 @@
-"""Exact nearest neighbours by inner product, blocked in Arrow: the library never shuffles."""
+"""Exact nearest neighbours, blocked in Arrow: queries travel in blocks, the library never shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,10 +13,25 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def exact_topk(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """queries (q, v), library (n, v) -> (q, n, ip, rk); ties to smaller n. Blocks of queries meet every library partition."""
+def _each(measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Distances of every query row to every library row, a query at a time."""
+    return lambda q, x: np.stack([measure(x, row) for row in q])
+
+
+#: (queries, rows) -> values; the last two and the cosine distance are better when smaller.
+MEASURES = {
+    "ip": lambda q, x: q @ x.T,
+    "cosine": lambda q, x: 1.0 - q @ x.T,
+    "euclid": _each(lambda x, row: np.sqrt(((x - row) ** 2).sum(1))),
+    "manhattan": _each(lambda x, row: np.abs(x - row).sum(1)),
+}
+
+
+def _blocks(queries: DataFrame, library: DataFrame, measure: str, k: int | None, digits: int | None, skip_own: bool) -> DataFrame:
+    """(q, n, x): the k best rows of each library batch for each query, or all of them."""
     spark = queries.sparkSession
-    schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("ip", pa.float64())])
+    schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("x", pa.float64())])
+    sign = -1.0 if measure == "ip" else 1.0
 
     def search(rows):
         held = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float64)))
@@ -25,11 +42,16 @@ def exact_topk(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
                 if not b.num_rows:
                     continue
                 n = b.column(0).to_numpy()
-                s = mat @ np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64).T
-                top = np.lexsort((np.broadcast_to(n, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(n[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], schema=schema)
+                s = MEASURES[measure](mat, np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                s = s if digits is None else np.round(s, digits)
+                q, at = np.repeat(ids, len(n)), np.tile(np.arange(len(n)), len(ids))
+                if k is not None:
+                    at = np.lexsort((np.broadcast_to(n, s.shape), sign * s), axis=1)[:, : k + skip_own]
+                    q, s, at = np.repeat(ids, at.shape[1]), np.take_along_axis(s, at, 1), at.ravel()
+                other = q != n[at] if skip_own else np.ones(len(q), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(q[other]), pa.array(n[at][other]), pa.array(s.ravel()[other])], schema=schema)
 
-        return library.select(F.col("n").cast("long"), "v").mapInArrow(run, "q long, n long, ip double")
+        return library.select(F.col("n").cast("long"), "v").mapInArrow(run, "q long, n long, x double")
 
     out, rows = None, []
     for r in queries.select(F.col("q").cast("long").alias("q"), "v").toLocalIterator():
@@ -38,7 +60,27 @@ def exact_topk(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
             part, rows = search(rows), []
             out = part if out is None else out.unionByName(part)
     if rows or out is None:
-        part = search(rows) if rows else spark.createDataFrame([], "q long, n long, ip double")
+        part = search(rows) if rows else spark.createDataFrame([], "q long, n long, x double")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("q").orderBy(F.col("ip").desc(), "n")
-    return out.withColumn("rk", F.row_number().over(w).cast("long")).filter(F.col("rk") <= k)
+    return out
+
+
+def _ranked(found: DataFrame, order: list, k: int) -> DataFrame:
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(*order)).cast("long")).filter(F.col("rk") <= k)
+
+
+def exact_topk(queries: DataFrame, library: DataFrame, k: int, skip_own: bool = False) -> DataFrame:
+    """queries (q, v), library (n, v) -> (q, n, ip, rk); ties to smaller n. With skip_own a query's own row (n = q) is no candidate."""
+    found = _blocks(queries, library, "ip", k, None, skip_own).withColumnRenamed("x", "ip")
+    return _ranked(found, [F.col("ip").desc(), "n"], k)
+
+
+def nearest_by(queries: DataFrame, library: DataFrame, k: int, measure: str, digits: int = 6, skip_own: bool = True) -> DataFrame:
+    """(q, n, dist, rk) by a distance of MEASURES, rounded before it is ranked; ties to smaller n."""
+    found = _blocks(queries, library, measure, k, digits, skip_own).withColumnRenamed("x", "dist")
+    return _ranked(found, ["dist", "n"], k)
+
+
+def products(queries: DataFrame, library: DataFrame, digits: int = 6, skip_own: bool = True) -> DataFrame:
+    """(q, n, ip) for every query and library row, in blocks."""
+    return _blocks(queries, library, "ip", None, digits, skip_own).withColumnRenamed("x", "ip")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidscan.functions.vectors import dot, safe_divide
+from braidscan.operators.knn import products
 from braidscan.plans.q_infer import CAND, cand, neighbours
 from braidscan.plans.register import query
 from braidscan.plans.standins import FN, fn
@@ -169,12 +170,12 @@ def w14(s, d):
     return r.select("name", F.when(F.col("upto") - F.col("n") < F.col("total") / 2.0, "train").otherwise("test").alias("part"))
 
 
-@query("t02_full_rank_list", f"WITH {FN} SELECT a.pos AS q, b.pos AS n, row_number() OVER (PARTITION BY a.pos ORDER BY round(list_dot_product(a.v, b.v), 6) DESC, b.pos) AS rk FROM fn a JOIN fn b ON a.pos % 100 = 0 AND b.pos < 200")
+@query("t02_full_rank_list", f"WITH {FN} SELECT a.pos AS q, b.pos AS n, row_number() OVER (PARTITION BY a.pos ORDER BY round(list_dot_product(a.v, b.v), 6) DESC, b.pos) AS rk FROM fn a JOIN fn b ON a.pos % 20 = 0 AND b.pos <> a.pos")
 def t02(s, d):
     f = fn(s, d)
-    q = f.filter("pos % 100 = 0").select(F.col("pos").alias("q"), F.col("v").alias("qv"))
-    x = f.filter("pos < 200").join(q, F.lit(True)).select("q", F.col("pos").alias("n"), F.round(dot(F.col("v"), F.col("qv")), 6).alias("s"))
-    return x.select("q", "n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "n")).cast("long").alias("rk"))
+    q = f.filter("pos % 20 = 0").select(F.col("pos").alias("q"), "v")
+    x = products(q, f.select(F.col("pos").alias("n"), "v"))
+    return x.select("q", "n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("ip").desc(), "n")).cast("long").alias("rk"))
 
 
 @query("t03_global_top20", f"WITH {CAND} SELECT q, n, sim FROM knn ORDER BY sim DESC, q, n LIMIT 20")
@@ -189,29 +190,29 @@ def t01(s, d):
 
 
 def _rows(s, d, lo, hi):
-    return fn(s, d).filter(f"pos between {lo} and {hi}").select("label", "size")
+    return fn(s, d).filter(f"size between {lo} and {hi}").select("label", "size")
 
 
-@query("o03_row_intersection", f"WITH {FN} SELECT label, size FROM fn WHERE pos BETWEEN 0 AND 60 INTERSECT SELECT label, size FROM fn WHERE pos BETWEEN 40 AND 120")
+@query("o03_row_intersection", f"WITH {FN} SELECT label, size FROM fn WHERE size <= 5 INTERSECT SELECT label, size FROM fn WHERE size >= 3")
 def o03(s, d):
-    return _rows(s, d, 0, 60).intersect(_rows(s, d, 40, 120))
+    return _rows(s, d, 1, 5).intersect(_rows(s, d, 3, 7))
 
 
-@query("o04_row_difference", f"WITH {FN} SELECT label, size FROM fn WHERE pos BETWEEN 0 AND 120 EXCEPT SELECT label, size FROM fn WHERE pos BETWEEN 60 AND 90")
+@query("o04_row_difference", f"WITH {FN} SELECT label, size FROM fn EXCEPT SELECT label, size FROM fn WHERE size BETWEEN 3 AND 5")
 def o04(s, d):
-    return _rows(s, d, 0, 120).subtract(_rows(s, d, 60, 90))
+    return _rows(s, d, 1, 7).subtract(_rows(s, d, 3, 5))
 
 
-@query("o06_key_sets", f"WITH {CAND} SELECT pos, EXISTS (SELECT 1 FROM cand c WHERE c.q = fn.pos) AS has_candidates FROM fn WHERE pos < 100")
+@query("o06_key_sets", f"WITH {CAND} SELECT pos, EXISTS (SELECT 1 FROM cand c WHERE c.q = fn.pos) AS has_candidates FROM fn")
 def o06(s, d):
-    f, c = fn(s, d).filter("pos < 100").select("pos"), cand(s, d).select(F.col("q").alias("pos")).distinct()
+    f, c = fn(s, d).select("pos"), cand(s, d).select(F.col("q").alias("pos")).distinct()
     yes = f.join(c, "pos", "left_semi").withColumn("has_candidates", F.lit(True))
     return yes.unionByName(f.join(c, "pos", "left_anti").withColumn("has_candidates", F.lit(False)))
 
 
-@query("o08_string_union_last_file_wins", "SELECT user_id, event_type FROM events WHERE event_id < 2000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("o08_string_union_last_file_wins", "SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def o08(s, d):
-    return table(s, d, "events").filter("event_id < 2000").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    return table(s, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
 
 
 @query("x12_softmax", f"WITH {FN} SELECT pos, round(exp(v[1]) / sum(exp(v[1])) OVER (PARTITION BY label), 6) AS p FROM fn")

@@ -16,9 +16,9 @@ def f01(s, d):
     return fn(s, d).select("pos", F.when(F.col("size") > 2, F.col("size")).otherwise(F.lit(-1)).alias("size"))
 
 
-@query("f03_known_endpoints", f"WITH {FN}, {ED} SELECT src, dst, count(*) AS n FROM ed WHERE src IN (SELECT name FROM fn WHERE pos < 100) AND dst IN (SELECT name FROM fn WHERE pos < 100) GROUP BY src, dst")
+@query("f03_known_endpoints", f"WITH {FN}, {ED} SELECT src, dst, count(*) AS n FROM ed WHERE src IN (SELECT name FROM fn WHERE size > 2) AND dst IN (SELECT name FROM fn WHERE size > 2) GROUP BY src, dst")
 def f03(s, d):
-    known = fn(s, d).filter("pos < 100")
+    known = fn(s, d).filter("size > 2")
     e = ed(s, d).join(known.select(F.col("name").alias("src")), "src", "left_semi").join(known.select(F.col("name").alias("dst")), "dst", "left_semi")
     return e.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -39,25 +39,26 @@ def j05(s, d):
     return bigrams(s, d).groupBy("src", "dst", "dist").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.round(F.max(F.col("v")[64]), 6).alias("first_of_dst"))
 
 
-@query("j06_trigram_build", f"WITH {FN}, {ED}, e2 AS (SELECT DISTINCT src, dst, dist FROM ed WHERE src <> dst) SELECT x.src AS a, x.dst AS b, y.dst AS c, x.dist + y.dist AS dist, round(list_dot_product(fa.v, fc.v), 6) AS ac FROM e2 x JOIN e2 y ON x.dst = y.src JOIN fn fa ON fa.name = x.src JOIN fn fb ON fb.name = x.dst JOIN fn fc ON fc.name = y.dst WHERE fa.pos % 5 = 0")
+@query("j06_trigram_build", f"WITH {FN}, {ED}, e2 AS (SELECT DISTINCT src, dst, dist FROM ed WHERE src <> dst), t AS (SELECT x.src AS a, y.dst AS c, x.dist + y.dist AS dist, count(*) AS middles FROM e2 x JOIN e2 y ON x.dst = y.src JOIN fn fb ON fb.name = x.dst GROUP BY 1, 2, 3) SELECT a, c, dist, middles, round(list_dot_product(fa.v, fc.v), 6) AS ac FROM t JOIN fn fa ON fa.name = a JOIN fn fc ON fc.name = c")
 def j06(s, d):
+    """Calls of calls, with the number of functions between: vectors join after the paths are counted."""
     from braidscan.functions.vectors import dot
 
     e, f = ed(s, d).filter("src <> dst").distinct(), fn(s, d)
-    x = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist").alias("d1"))
+    x = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist").alias("d1")).join(f.select(F.col("name").alias("b")), "b", "left_semi")
     y = e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("dist").alias("d2"))
-    va = f.filter("pos % 5 = 0").select(F.col("name").alias("a"), F.col("v").alias("va"))
-    tri = x.join(va, "a").join(y, "b").join(f.select(F.col("name").alias("b")), "b").join(f.select(F.col("name").alias("c"), F.col("v").alias("vc")), "c")
-    return tri.select("a", "b", "c", (F.col("d1") + F.col("d2")).alias("dist"), F.round(dot(F.col("va"), F.col("vc")), 6).alias("ac"))
+    t = x.join(y, "b").groupBy("a", "c", (F.col("d1") + F.col("d2")).alias("dist")).agg(F.count("*").alias("middles"))
+    t = t.join(f.select(F.col("name").alias("a"), F.col("v").alias("va")), "a").join(f.select(F.col("name").alias("c"), F.col("v").alias("vc")), "c")
+    return t.select("a", "c", "dist", "middles", F.round(dot(F.col("va"), F.col("vc")), 6).alias("ac"))
 
 
-_ACY = f"{FN}, e0 AS (SELECT DISTINCT event_id % 97 AS a, 97 + user_id % 89 AS m, (97 + 89) + (event_id * 7) % 83 AS z FROM events WHERE event_id < 2000), ce AS (SELECT DISTINCT 'f' || a AS src, 'f' || m AS dst, CAST(1 AS BIGINT) AS dist FROM e0 UNION SELECT DISTINCT 'f' || m, 'f' || z, CAST(1 AS BIGINT) FROM e0), small AS (SELECT name FROM fn WHERE size <= 3)"
+_ACY = f"{FN}, e0 AS (SELECT DISTINCT event_id % 97 AS a, 97 + user_id % 89 AS m, (97 + 89) + (event_id * 7) % 83 AS z FROM events), ce AS (SELECT DISTINCT 'f' || a AS src, 'f' || m AS dst, CAST(1 AS BIGINT) AS dist FROM e0 UNION SELECT DISTINCT 'f' || m, 'f' || z, CAST(1 AS BIGINT) FROM e0), small AS (SELECT name FROM fn WHERE size <= 3)"
 
 
 def _chain(s, d):
     from braidscan.runtime import table
 
-    e = table(s, d, "events").filter("event_id < 2000").select((F.col("event_id") % 97).alias("a"), (97 + F.col("user_id") % 89).alias("m"), (186 + (F.col("event_id") * 7) % 83).alias("z"))
+    e = table(s, d, "events").select((F.col("event_id") % 97).alias("a"), (97 + F.col("user_id") % 89).alias("m"), (186 + (F.col("event_id") * 7) % 83).alias("z"))
     name = lambda c: F.concat(F.lit("f"), F.col(c))
     one = F.lit(1).cast("long").alias("dist")
     return e.select(name("a").alias("src"), name("m").alias("dst"), one).union(e.select(name("m").alias("src"), name("z").alias("dst"), one)).distinct()
@@ -90,25 +91,26 @@ def i04(s, d):
 
 @query("i04_betweenness")
 def i04b(s, d):
-    return graph.betweenness(_chain(s, d).filter("src < 'f15'").select(F.lit("g").alias("graph"), "src", "dst"))
+    return graph.betweenness(_chain(s, d).select(F.lit("g").alias("graph"), "src", "dst"))
 
 
-@query("i05_motifs_of_three", f"WITH {ED}, e AS (SELECT DISTINCT src, dst FROM ed WHERE src < dst), t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src WHERE x.src < 'f120') SELECT CASE WHEN z.src IS NULL THEN 'chain' ELSE 'triangle' END AS motif, count(*) AS n FROM t LEFT JOIN e z ON z.src = t.a AND z.dst = t.c GROUP BY 1")
+@query("i05_motifs_of_three", f"WITH {ED}, e AS (SELECT DISTINCT src, dst FROM ed WHERE src < dst), t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src) SELECT CASE WHEN z.src IS NULL THEN 'chain' ELSE 'triangle' END AS motif, count(*) AS n FROM t LEFT JOIN e z ON z.src = t.a AND z.dst = t.c GROUP BY 1")
 def i05(s, d):
     e = ed(s, d).filter("src < dst").select("src", "dst").distinct()
-    t = e.filter("src < 'f120'").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
+    t = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
     z = e.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(1).alias("hit"))
     return t.join(z, ["a", "c"], "left").groupBy(F.when(F.col("hit").isNull(), "chain").otherwise("triangle").alias("motif")).agg(F.count("*").alias("n"))
 
 
-_UE = "ue AS (SELECT DISTINCT event_id % 400 AS a, (event_id * 13 + user_id) % 400 AS b FROM events WHERE event_id % 37 = 0)"
+# Events are nodes; each points to an event of its own block of ten, so there are many components of several sizes.
+_UE = "ue AS (SELECT DISTINCT event_id AS a, event_id - event_id % 10 + user_id % 10 AS b FROM events)"
 
 
 @query("i01_connected_components", f"WITH RECURSIVE {_UE}, u AS (SELECT a, b FROM ue UNION SELECT b, a FROM ue), r AS (SELECT a AS node, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.node) SELECT node, min(m) AS component FROM r GROUP BY node")
 def i01(s, d):
     from braidscan.runtime import table
 
-    e = table(s, d, "events").filter("event_id % 37 = 0").select((F.col("event_id") % 400).alias("src"), ((F.col("event_id") * 13 + F.col("user_id")) % 400).alias("dst"))
+    e = table(s, d, "events").select(F.col("event_id").alias("src"), (F.col("event_id") - F.col("event_id") % 10 + F.col("user_id") % 10).alias("dst"))
     return connected_components(e.distinct())
 
 
@@ -164,11 +166,11 @@ def i10(s, d):
     return fn(s, d).select("name").join(ends, "name", "left_semi")
 
 
-@query("i13_signed_graph", f"""WITH {FN}, {ED}, c AS (SELECT pos AS q, (pos * 7 + k) % 97 AS t FROM fn, (SELECT unnest(range(3)) AS k) WHERE pos < 120), cc AS (SELECT DISTINCT q, t FROM c)
-SELECT a.q * 1000 + a.t AS i, b.q * 1000 + b.t AS j, -1 AS sign FROM cc a JOIN cc b ON a.q = b.q AND a.t < b.t UNION ALL SELECT a.q * 1000 + a.t, b.q * 1000 + b.t, -1 FROM cc a JOIN cc b ON a.t = b.t AND a.q < b.q""")
+@query("i13_signed_graph", f"""WITH {FN}, {ED}, c AS (SELECT pos AS q, pos // 3 + k AS t FROM fn, (SELECT unnest(range(3)) AS k)), cc AS (SELECT DISTINCT q, t FROM c)
+SELECT a.q * 1000000 + a.t AS i, b.q * 1000000 + b.t AS j, -1 AS sign FROM cc a JOIN cc b ON a.q = b.q AND a.t < b.t UNION ALL SELECT a.q * 1000000 + a.t, b.q * 1000000 + b.t, -1 FROM cc a JOIN cc b ON a.t = b.t AND a.q < b.q""")
 def i13(s, d):
-    c = fn(s, d).filter("pos < 120").select(F.col("pos").alias("q"), F.explode(F.array(*[(F.col("pos") * 7 + k) % 97 for k in range(3)])).alias("t")).distinct()
-    code = lambda p: F.col(f"{p}.q") * 1000 + F.col(f"{p}.t")
+    c = fn(s, d).select(F.col("pos").alias("q"), F.explode(F.array(*[F.expr(f"pos div 3 + {k}") for k in range(3)])).alias("t")).distinct()
+    code = lambda p: F.col(f"{p}.q") * 1000000 + F.col(f"{p}.t")
     row = lambda x: x.select(code("a").alias("i"), code("b").alias("j"), F.lit(-1).alias("sign"))
     a, b = c.alias("a"), c.alias("b")
     own = row(a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.t") < F.col("b.t"))))

@@ -12,17 +12,17 @@ from braidscan.plans.register import query
 from braidscan.plans.standins import FN, fn
 from braidscan.runtime import table
 
-# Candidates: of each tenth function the five most similar of the others, aliased like the pipeline does.
-CAND = f"""{FN}, knn AS (SELECT q.pos AS q, l.pos AS n, l.lib, round(list_dot_product(q.v, l.v), 6) AS sim FROM fn q JOIN fn l ON q.pos % 10 = 0 AND l.pos % 10 <> 0
+# Candidates: of each twentieth function the five most similar of the others, aliased like the pipeline does.
+CAND = f"""{FN}, knn AS (SELECT q.pos AS q, l.pos AS n, l.lib, round(list_dot_product(q.v, l.v), 6) AS sim FROM fn q JOIN fn l ON q.pos % 20 = 0 AND l.pos <> q.pos
  QUALIFY row_number() OVER (PARTITION BY q.pos ORDER BY list_dot_product(q.v, l.v) DESC, l.pos) <= 5),
 cand AS (SELECT q, 'f' || (n % 40) AS func, CASE WHEN lib IN ('lib1', 'lib2') THEN 'lib12' ELSE lib END AS lib, max(sim) AS sim FROM knn GROUP BY 1, 2, 3)"""
 
 
 def neighbours(s, d):
     f = fn(s, d)
-    q = f.filter("pos % 10 = 0").select(F.col("pos").alias("q"), "v")
-    lib = f.filter("pos % 10 <> 0")
-    top = exact_topk(q, lib.select(F.col("pos").alias("n"), "v"), 5)
+    q = f.filter("pos % 20 = 0").select(F.col("pos").alias("q"), "v")
+    lib = f
+    top = exact_topk(q, lib.select(F.col("pos").alias("n"), "v"), 5, skip_own=True)
     return top.join(lib.select(F.col("pos").alias("n"), "lib", "version"), "n").withColumn("sim", F.round("ip", 6))
 
 
@@ -61,17 +61,17 @@ def w04(s, d):
     return u.select("q", "func", "lib", F.round(F.exp("r") / F.sum(F.exp("r")).over(Window.partitionBy("q")), 6).alias("prior"))
 
 
-@query("j07_candidate_edge_admission", f"""WITH {CAND}, e AS (SELECT DISTINCT (event_id % 50) * 10 AS qs, (user_id % 50) * 10 AS qd, 'f' || (event_id % 40) AS fs, 'f' || (user_id % 40) AS fd FROM events WHERE event_id < 4000)
+@query("j07_candidate_edge_admission", f"""WITH {CAND}, e AS (SELECT DISTINCT (event_id % 25) * 20 AS qs, (user_id % 25) * 20 AS qd, 'f' || (event_id % 40) AS fs, 'f' || (user_id % 40) AS fd FROM events)
 SELECT e.qs, e.qd, e.fs, e.fd FROM e WHERE qs <> qd AND EXISTS (SELECT 1 FROM cand c WHERE c.q = e.qs AND c.func = e.fs) AND EXISTS (SELECT 1 FROM cand c WHERE c.q = e.qd AND c.func = e.fd)""")
 def j07(s, d):
-    ev = table(s, d, "events").filter("event_id < 4000")
-    e = ev.select(((F.col("event_id") % 50) * 10).alias("qs"), ((F.col("user_id") % 50) * 10).alias("qd"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("fs"), F.concat(F.lit("f"), F.col("user_id") % 40).alias("fd"))
+    ev = table(s, d, "events")
+    e = ev.select(((F.col("event_id") % 25) * 20).alias("qs"), ((F.col("user_id") % 25) * 20).alias("qd"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("fs"), F.concat(F.lit("f"), F.col("user_id") % 40).alias("fd"))
     c = cand(s, d).select("q", "func").distinct()
     e = e.filter("qs <> qd").distinct()
     return e.join(c.select(F.col("q").alias("qs"), F.col("func").alias("fs")), ["qs", "fs"], "left_semi").join(c.select(F.col("q").alias("qd"), F.col("func").alias("fd")), ["qd", "fd"], "left_semi").select("qs", "qd", "fs", "fd")
 
 
-STR = """st AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), pr AS (SELECT a.doc_id AS q, b.doc_id AS c FROM documents a JOIN documents b ON b.doc_id = (a.doc_id * 7 + 3) % 500 WHERE a.doc_id < 500)"""
+STR = """st AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), pr AS (SELECT a.doc_id AS q, b.doc_id AS c FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2)"""
 
 
 @query("j08_string_evidence", f"""WITH {STR}, n AS (SELECT doc_id, count(*) AS n FROM st GROUP BY doc_id), sh AS (SELECT pr.q, pr.c, count(*) AS shared FROM pr JOIN st x ON x.doc_id = pr.q JOIN st y ON y.doc_id = pr.c AND y.s = x.s GROUP BY pr.q, pr.c)
@@ -79,13 +79,13 @@ SELECT pr.q, pr.c, coalesce(shared, 0) AS shared, a.n + b.n - coalesce(shared, 0
 def j08(s, d):
     docs = table(s, d, "documents")
     st = docs.select("doc_id", F.array_distinct(F.split("text", "\n", -1)).alias("s"))
-    q = st.filter("doc_id < 500").select(F.col("doc_id").alias("q"), ((F.col("doc_id") * 7 + 3) % 500).alias("c"), F.col("s").alias("a"))
+    q = st.select(F.col("doc_id").alias("q"), F.expr("doc_id div 2").alias("c"), F.col("s").alias("a"))
     return belief.string_evidence(q.join(st.select(F.col("doc_id").alias("c"), F.col("s").alias("b")), "c"))
 
 
 # A small factor graph: query functions are variables, calls between them pair factors.
-_FG = f"""{PRIOR}, opt AS (SELECT q AS v, row_number() OVER (PARTITION BY q ORDER BY func = 'None', func, lib) AS o, prior AS pr, func FROM prior WHERE q < 300),
-pairs AS (SELECT DISTINCT (event_id % 30) * 10 AS a, (user_id % 30) * 10 AS b FROM events WHERE event_id < 60 AND event_id % 30 <> user_id % 30),
+_FG = f"""{PRIOR}, opt AS (SELECT q AS v, row_number() OVER (PARTITION BY q ORDER BY func = 'None', func, lib) AS o, prior AS pr, func FROM prior),
+pairs AS (SELECT DISTINCT (event_id % 25) * 20 AS a, (user_id % 25) * 20 AS b FROM events WHERE event_id % 25 <> user_id % 25),
 f AS (SELECT a * 1000 + b AS fid, p.a, p.b, x.o AS i, y.o AS j, CASE WHEN x.func <> 'None' AND y.func <> 'None' AND (CAST(substr(x.func, 2) AS INT) + CAST(substr(y.func, 2) AS INT)) % 3 = 0 THEN 0.9 ELSE 0.1 END AS pot FROM pairs p JOIN opt x ON x.v = p.a JOIN opt y ON y.v = p.b)"""
 
 
@@ -101,11 +101,11 @@ fr{t} AS (SELECT fid, v, o, m / sum(m) OVER (PARTITION BY fid, v) AS m FROM u{t}
 
 
 def _factor_graph(s, d):
-    p = belief.rank_prior(cand(s, d)).filter("q < 300")
+    p = belief.rank_prior(cand(s, d))
     w = Window.partitionBy("q").orderBy(F.col("func") == "None", "func", "lib")
     opt = p.select(F.col("q").alias("v"), F.row_number().over(w).cast("long").alias("o"), F.col("prior").alias("pr"), "func")
-    ev = table(s, d, "events").filter("event_id < 60 and event_id % 30 <> user_id % 30")
-    pairs = ev.select(((F.col("event_id") % 30) * 10).alias("a"), ((F.col("user_id") % 30) * 10).alias("b")).distinct()
+    ev = table(s, d, "events").filter("event_id % 25 <> user_id % 25")
+    pairs = ev.select(((F.col("event_id") % 25) * 20).alias("a"), ((F.col("user_id") % 25) * 20).alias("b")).distinct()
     x, y = opt.select(F.col("v").alias("a"), F.col("o").alias("i"), F.col("func").alias("fx")), opt.select(F.col("v").alias("b"), F.col("o").alias("j"), F.col("func").alias("fy"))
     num = lambda c: F.expr(f"try_cast(substr({c}, 2) as int)")
     hit = (F.col("fx") != "None") & (F.col("fy") != "None") & ((num("fx") + num("fy")) % 3 == 0)
@@ -126,9 +126,9 @@ def w05(s, d):
     return x.filter(close(F.col("m"), F.col("top"))).join(opt.select("v", "o", "func"), ["v", "o"]).select("v", "func")
 
 
-@query("i07_max_exclusive", f"WITH {FN}, m AS (SELECT label AS fid, pos AS v, (pos % 10) / 10.0 AS m1 FROM fn WHERE pos < 200), x AS (SELECT *, max(m1) OVER (PARTITION BY fid) AS top, row_number() OVER (PARTITION BY fid ORDER BY m1 DESC, v) AS rn, count(*) OVER (PARTITION BY fid) AS n FROM m) SELECT fid, v, CAST(CASE WHEN n = 1 THEN 0.4 WHEN top < 0.5 THEN 0.1 WHEN rn = 1 THEN 0.999 ELSE 0.001 END AS DOUBLE) AS m1 FROM x")
+@query("i07_max_exclusive", f"WITH {FN}, m AS (SELECT label AS fid, pos AS v, (pos % 10) / 10.0 AS m1 FROM fn), x AS (SELECT *, max(m1) OVER (PARTITION BY fid) AS top, row_number() OVER (PARTITION BY fid ORDER BY m1 DESC, v) AS rn, count(*) OVER (PARTITION BY fid) AS n FROM m) SELECT fid, v, CAST(CASE WHEN n = 1 THEN 0.4 WHEN top < 0.5 THEN 0.1 WHEN rn = 1 THEN 0.999 ELSE 0.001 END AS DOUBLE) AS m1 FROM x")
 def i07(s, d):
-    m = fn(s, d).filter("pos < 200").select(F.col("label").alias("fid"), F.col("pos").alias("v"), ((F.col("pos") % 10) / 10.0).alias("m1"))
+    m = fn(s, d).select(F.col("label").alias("fid"), F.col("pos").alias("v"), ((F.col("pos") % 10) / 10.0).alias("m1"))
     return belief.max_exclusive(m)
 
 
@@ -169,9 +169,9 @@ def j12(s, d):
     return c.withColumn("top", F.max("sim").over(Window.partitionBy("q"))).filter("top <= 0.35 or sim > 0.35").select("q", "func", "lib")
 
 
-@query("f06_equal_distance", "WITH e AS (SELECT event_id % 100 AS k, user_id % 4 AS dist, event_id AS id FROM events WHERE event_id < 1000) SELECT a.k, a.dist, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND a.dist = b.dist AND a.id < b.id GROUP BY a.k, a.dist")
+@query("f06_equal_distance", "WITH e AS (SELECT event_id % 100 AS k, user_id % 4 AS dist, event_id AS id FROM events) SELECT a.k, a.dist, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND a.dist = b.dist AND a.id < b.id GROUP BY a.k, a.dist")
 def f06(s, d):
-    e = table(s, d, "events").filter("event_id < 1000").select((F.col("event_id") % 100).alias("k"), (F.col("user_id") % 4).alias("dist"))
+    e = table(s, d, "events").select((F.col("event_id") % 100).alias("k"), (F.col("user_id") % 4).alias("dist"))
     return e.groupBy("k", "dist").agg(F.count("*").alias("c")).filter("c > 1").select("k", "dist", F.expr("c * (c - 1) div 2").alias("n"))
 
 

@@ -9,7 +9,7 @@ from braidscan.runtime import table
 
 FN = """fn AS (SELECT vec_id AS pos, 'f' || vec_id AS name, CAST(1 + vec_id % 7 AS INT) AS size, 'lib' || label AS lib,
  'lib' || label || '-' || (vec_id % 3) AS version, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
-ED = "ed AS (SELECT 'f' || (event_id % 200) AS src, 'f' || (user_id % 200) AS dst, CAST(1 AS BIGINT) AS dist FROM events WHERE event_id < 3000)"
+ED = "ed AS (SELECT 'f' || (event_id % 200) AS src, 'f' || (user_id % 200) AS dst, CAST(1 AS BIGINT) AS dist FROM events)"
 
 
 def fn(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,5 +21,5 @@ def fn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ed(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter("event_id < 3000")
+    e = table(spark, sf, "events")
     return e.select(F.concat(F.lit("f"), F.col("event_id") % 200).alias("src"), F.concat(F.lit("f"), F.col("user_id") % 200).alias("dst"), F.lit(1).cast("long").alias("dist"))
