@@ -6,7 +6,8 @@ unaltered, so only windows around such pieces are looked at (nothing is lost by
 These item-sized windows, shifted by every number of words the edits allow, go through the
 CGK random walk, which maps edit to Hamming distance; repeated bit sampling of the walk's
 output gives hash keys that are compared with the items' keys, and every window that meets
-an item in some repetition is verified by the exact edit distance.
+an item in some repetition is verified by the exact edit distance. A walk that strays early
+loses all its repetitions at once, so further walks follow while nothing is verified.
 
 Items travel to the tasks in blocks of at most BLOCK_ITEMS.
 
@@ -31,13 +32,13 @@ from braidscan.llm.ngram_join import _batches
 
 #: Edits allowed, in percent of the item's words; the shortest item searched for; items of a block.
 EDITS_PERCENT, MIN_WORDS, BLOCK_ITEMS = 20, 5, 8192
-#: Repetitions of the sampling, positions sampled in each.
-REPEATS, SAMPLED = 32, 3
+#: Independent walks, repetitions of the sampling for each, positions sampled in each.
+WALKS, REPEATS, SAMPLED = 6, 32, 3
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
 
-def walk(windows: np.ndarray) -> np.ndarray:
-    """The CGK embedding of each row: 3 n symbols; a random bit of (step, symbol) moves the walk on."""
+def walk(windows: np.ndarray, number: int = 0) -> np.ndarray:
+    """The CGK embedding of each row: 3 n symbols; a random bit of (walk, step, symbol) moves the walk on."""
     m, n = windows.shape
     padded = np.concatenate((windows, np.full((m, 1), _PAD)), axis=1)
     at, rows = np.zeros(m, np.int64), np.arange(m)
@@ -45,7 +46,7 @@ def walk(windows: np.ndarray) -> np.ndarray:
     for step in range(3 * n):
         sym = padded[rows, at]
         out[:, step] = sym
-        coin = wordhash.mix(sym + np.uint64((step * 0x9E3779B97F4A7C15) & (2**64 - 1))) & np.uint64(1)
+        coin = wordhash.mix(sym + np.uint64((step * 0x9E3779B97F4A7C15 + number * 0xC2B2AE3D27D4EB4F) & (2**64 - 1))) & np.uint64(1)
         at = np.minimum(at + coin.astype(np.int64), n)
     return out
 
@@ -93,7 +94,11 @@ class ItemIndex:
         for size, found in pieces.items():
             found.sort()
             self.pieces[size] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
-        self.keys = {t: k for ts in by_length.values() for t, k in zip(ts, sampled_keys(walk(np.stack([self.items[t][1] for t in ts]))))}
+        self.keys: list[dict[int, np.ndarray]] = [{} for _ in range(WALKS)]
+        for ts in by_length.values():
+            same = np.stack([self.items[t][1] for t in ts])
+            for number, held in enumerate(self.keys):
+                held.update(zip(ts, sampled_keys(walk(same, number))))
 
     def matches(self, words: np.ndarray):
         """(item_id, edits, start, item's words) of every item the text holds."""
@@ -113,26 +118,29 @@ class ItemIndex:
             item_id, w = self.items[t]
             n, e = len(w), self.edits[t]
             found = None
-            for start in self._meeting(t, w, words, starts):
-                a = max(0, start - e)
-                edits, end = best_stretch(w, words[a : start + n + e])
-                if edits <= e and (found is None or edits < found[0]):
-                    found = (edits, max(0, a + end - n))
-                    if edits == 0:
-                        break
+            for number in range(WALKS):  # another walk only where those before it verified nothing
+                for start in self._meeting(t, w, words, starts, number):
+                    a = max(0, start - e)
+                    edits, end = best_stretch(w, words[a : start + n + e])
+                    if edits <= e and (found is None or edits < found[0]):
+                        found = (edits, max(0, a + end - n))
+                        if edits == 0:
+                            break
+                if found:
+                    break
             if found:
                 yield item_id, found[0], found[1], n
 
-    def _meeting(self, t: int, w: np.ndarray, words: np.ndarray, starts: set[int]):
-        """Window starts, in steps of bounded size, at which some sampled key meets the item's."""
+    def _meeting(self, t: int, w: np.ndarray, words: np.ndarray, starts: set[int], number: int):
+        """Window starts, in steps of bounded size, at which some sampled key of the walk meets the item's."""
         n, e = len(w), self.edits[t]
         every = np.unique(np.clip(np.array(sorted(starts))[:, None] + np.arange(-e, e + 1)[None], 0, max(0, len(words) - 1)))
         padded = np.concatenate((words, np.full(n, _PAD)))
         for at in range(0, len(every), 2048):
             s = every[at : at + 2048]
-            keys = sampled_keys(walk(padded[s[:, None] + np.arange(n)[None]]))
+            keys = sampled_keys(walk(padded[s[:, None] + np.arange(n)[None]], number))
             last = -(10**9)
-            for start in s[(keys == self.keys[t][None]).any(1)]:
+            for start in s[(keys == self.keys[number][t][None]).any(1)]:
                 # One exact comparison covers a window's shifts on either side.
                 if start - last > e or start == last:
                     last = start

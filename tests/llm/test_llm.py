@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from braidscan.llm import bpe, decontam, langid, line_dedup, lm, ngram_join, pseudonyms, quality, topk, urlfilter
+from braidscan.llm import bpe, decontam, langid, line_dedup, lm, ngram_join, pseudonyms, quality, topk, urlfilter, wordhash
 from braidscan.llm.registry import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, text2 string"
@@ -198,3 +198,20 @@ def test_pipeline_stages_keep_the_columns(spark):
         docs = out
     ids = {r.doc_id for r in docs.collect()}
     assert ids == {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+
+
+@pytest.mark.parametrize("kind", ["replaced", "dropped", "added"])
+def test_decontamination_meets_passages_at_the_edit_limit(kind):
+    """Random edits up to the limit, in items of several lengths: recall of the sampling must reach 0.95."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [list(rng.choice(vocabulary, n)) for n in rng.integers(12, 60, 60)]
+    index = decontam.ItemIndex(list(range(60)), [" ".join(w).encode() for w in items])
+    met = 0
+    for i, words in enumerate(items):
+        edited = list(words)
+        for k, p in enumerate(sorted(rng.choice(len(words), len(words) * decontam.EDITS_PERCENT // 100, replace=False), reverse=True)):
+            edited[p : p + (kind != "added")] = [] if kind == "dropped" else [f"x{k}"]
+        text = " ".join([*rng.choice(vocabulary, 50), *edited, *rng.choice(vocabulary, 50)])
+        met += i in {m[0] for m in index.matches(wordhash.words([text.encode()])[0])}
+    assert met >= 57
