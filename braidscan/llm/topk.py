@@ -134,9 +134,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     scratch = Scratch(spark, "topk")
     held = scratch.put(quantised(vectors).withColumn("dim", F.size("v")), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    shapes = held.groupBy("dim").agg(F.max(square).alias("top")).limit(1024).collect()
+    shapes = held.groupBy("dim").agg(F.max(square).alias("top")).orderBy("dim")
     found = None
-    for shape in sorted(shapes):
+    for shape in shapes.toLocalIterator():
         n, same = shape["dim"], held.filter(F.col("dim") == shape["dim"])
         sample = same.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "v").limit(SAMPLE).collect()
         s_ids, s_v = np.array([r["vec_id"] for r in sample], np.int64), _matrix(sample, n)
