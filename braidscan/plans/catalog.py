@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidscan.plans import q_eval, q_graph, q_infer, q_text, q_vector  # noqa: F401  they register their queries
+from braidscan.plans import q_eval, q_graph, q_infer, q_more, q_text, q_vector  # noqa: F401  they register their queries
 from braidscan.plans.register import QUERIES, SQL
 
 

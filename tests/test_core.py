@@ -3,12 +3,13 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from braidscan.functions import hashes, vectors
-from braidscan.operators import belief, graph
+from braidscan.functions import fuzzy, hashes, vectors
+from braidscan.operators import belief, embed, graph, knn, walks
 from braidscan.operators.components import connected_components
 from braidscan.sources import graphs
 
@@ -100,3 +101,54 @@ def test_queries_match_sql(spark, name):
     mine = sorted([tuple(plain(r[c]) for c in order) for r in got.collect()], key=repr)
     theirs = sorted([tuple(plain(dict(zip(rel.columns, r))[c]) for c in order) for r in rel.fetchall()], key=repr)
     assert mine == theirs
+
+
+def test_rolling_hash_equals_the_byte_by_byte_form():
+    data = random.Random(3).randbytes(500)
+    window, h1, h2, h3, want = [0] * 7, 0, 0, 0, []
+    for i, c in enumerate(data):
+        h2 += 7 * c - h1
+        h1 += c - window[i % 7]
+        window[i % 7] = c
+        h3 = ((h3 << 5) & 0xFFFFFFFF) ^ c
+        want.append((h1 + h2 + h3) & 0xFFFFFFFF)
+    assert fuzzy.rolling(np.frombuffer(data, np.uint8)).tolist() == want
+
+
+def test_fuzzy_hashes_of_near_copies_are_alike():
+    rng = random.Random(4)
+    text = bytes(rng.choices(range(97, 123), k=20_000))
+    near = text[:9000] + b"changed" + text[9000:]
+    other = bytes(rng.choices(range(97, 123), k=20_000))
+    a, b, c = map(fuzzy.fuzzy_hash, (text, near, other))
+    assert fuzzy.likeness(a, a) == 100 and fuzzy.likeness(a, b) > 80 and fuzzy.likeness(a, c) == 0
+    assert fuzzy.fuzzy_hash(b"").startswith("3:")
+
+
+def test_embedding_equals_dense_messages():
+    x, w = np.random.default_rng(5).normal(size=(4, 3)), embed.weights(3)
+    n = np.zeros((4, 4))
+    for i in range(3):
+        n[i, i + 1] = n[i + 1, i] = 1
+    mu = np.zeros((4, embed.WIDTH))
+    for _ in range(embed.ROUNDS):
+        mu = np.tanh(x @ w[0] + np.maximum(np.maximum(n @ mu @ w[1], 0) @ w[2], 0))
+    assert np.allclose(embed.embed(x, np.arange(3), np.arange(1, 4), w), mu.sum(0) @ w[3])
+
+
+def test_signed_walk_keeps_its_mass_without_dead_ends(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", -1), ("c", "a", 1)], "i string, j string, sign int")
+    got = {r.node: r for r in walks.signed_walk(edges, spark.createDataFrame([("a",)], "node string"), 12).collect()}
+    assert abs(sum(r.plus + r.minus for r in got.values()) - 1) < 1e-9 and got["b"].plus > got["b"].minus and got["c"].minus > got["c"].plus
+
+
+@pytest.mark.parametrize("measure", ["euclid", "manhattan", "cosine"])
+def test_blocked_distances_equal_brute_force_with_ties_and_own_rows(spark, measure):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(0, 2)) for _ in range(3)]) for i in range(60)]
+    q = spark.createDataFrame(rows[::20], "q long, v array<double>")
+    got = {(r.q, r.rk): (r.n, r.dist) for r in knn.nearest_by(q, spark.createDataFrame(rows, "n long, v array<double>"), 4, measure).collect()}
+    dist = {"euclid": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5, "manhattan": lambda a, b: sum(abs(x - y) for x, y in zip(a, b)), "cosine": lambda a, b: 1 - sum(x * y for x, y in zip(a, b))}[measure]
+    for i, v in rows[::20]:
+        best = sorted((round(dist(v, w), 6), j) for j, w in rows if j != i)[:4]
+        assert [got[i, k + 1] for k in range(4)] == [(j, x) for x, j in best]
