@@ -16,7 +16,8 @@ Defined cases
   repeated rows           rows with one doc_id are one document for the counts; each row is returned
   ties                    none: the largest doc_id keeps the line
   empty table             empty result
-  extra columns           ignored by ``keep_bitmaps``, carried along by ``apply_bitmaps``
+  extra columns           ignored by ``keep_bitmaps``, carried along by ``apply_bitmaps``, where the columns it adds
+                          win over columns of the same name; ``rewrite_texts`` keeps all
 """
 
 from __future__ import annotations
@@ -105,23 +106,38 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text added."""
+def cut_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(row, n_lines, n_dropped, kept_text): row holds all columns of docs, whatever their names."""
     marks = bitmaps.select(
         F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("drop_runs").alias("_runs")
     )
-    joined = docs.join(marks, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_body")), "left")
-    lines = _lines(F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(marks, (F.col("row.doc_id") == F.col("_doc")) & (F.xxhash64("row.text") == F.col("_body")), "left")
+    lines = _lines(F.col("row.text"))
     cut = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.col("_n"), F.lit(0)).cast("long"))
     # Kept runs lie between the dropped ones: before the first, and after each up to the next.
     ends = F.expr("concat(array(0), transform(_runs, r -> r.start + r.len))")
     starts = F.expr("concat(transform(_runs, r -> r.start), array(cast(n_lines as int)))")
     between = cut.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines)).withColumn("_spans", F.arrays_zip(ends.alias("a"), starts.alias("b")))
     kept = F.expr("array_join(flatten(transform(_spans, s -> slice(_lines, s.a + 1, s.b - s.a))), '\n')")
-    return between.withColumn("kept_text", F.when(F.col("_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)).drop(
-        "_doc", "_body", "_n", "_runs", "_lines", "_spans"
-    )
+    whole = F.coalesce("row.text", F.lit(""))
+    return between.select("row", "n_lines", "n_dropped", F.when(F.col("_runs").isNull(), whole).otherwise(kept).alias("kept_text"))
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text added; columns of docs with these names give way."""
+    added = ("n_lines", "n_dropped", "kept_text")
+    held = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added]
+    return cut_lines(docs, bitmaps).select(*held, *added)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+
+
+def rewrite_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with the same columns: texts that lose lines are replaced, n_chars (if there is one) follows the text."""
+    kept = cut_lines(docs, keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs))
+    lost, text = F.col("n_dropped") > 0, F.col("kept_text")
+    changed = {"text": F.when(lost, text).otherwise(F.col("row.text")), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

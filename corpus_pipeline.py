@@ -10,6 +10,12 @@ from braidscan.llm.registry import tokenizer_file
 from braidscan.runtime import Scratch, table
 
 
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, columns as they are, but for the documents of rows."""
+    gone = rows.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -17,22 +23,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, but for the largest document's; every document stays, though it may be left empty."""
-    kept = line_dedup.dedup_lines(docs)
-    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.char_length("kept_text").cast("long")}
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return line_dedup.rewrite_texts(docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
     groups = ngram_join.jaccard_groups(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, groups.filter(F.col("doc_id") != F.col("component_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
