@@ -47,8 +47,8 @@ from braidscan.runtime import Scratch
 WORDS, PERCENT = 4, 85
 #: Documents and head entries of a chunk; pivots probed for each short list.
 CHUNK_DOCS, CHUNK_ENTRIES, PIVOTS = 4096, 600_000, 3
-#: Documents of a block in the last search.
-BLOCK_DOCS = 256
+#: Documents of a block in the last search; head entries of a hash range.
+BLOCK_DOCS, RANGE_ENTRIES = 256, 16_000_000
 
 
 def missing(n, percent: int):
@@ -122,8 +122,15 @@ def _chunks(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataF
     return docs.mapInArrow(run, _CHUNKS)
 
 
-def _shared_heads(chunks: DataFrame, parts: int) -> DataFrame:
+def _ranges(chunks: DataFrame) -> int:
+    """Into how many hash ranges the heads go: what a range holds stays bounded however large the corpus is."""
+    entries = chunks.agg(F.sum(F.octet_length("heads")).alias("n")).first()["n"] or 0
+    return max(2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // (8 * RANGE_ENTRIES)))
+
+
+def _shared_heads(chunks: DataFrame) -> DataFrame:
     """(chunk, hashes, counts): the head shingles that several documents hold, told to each chunk holding them."""
+    parts = _ranges(chunks)
     out_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def deal(batches):
@@ -315,10 +322,9 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     spark = documents.sparkSession
     scratch = Scratch(spark, "ngrams")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     chunks = scratch.put(_chunks(docs, words, percent), "chunks")
-    alive = scratch.put(_short_lists(chunks, _shared_heads(chunks, parts), percent).select("doc_id", "n", "fp"), "alive")
+    alive = scratch.put(_short_lists(chunks, _shared_heads(chunks), percent).select("doc_id", "n", "fp"), "alive")
     members = scratch.put(_members(chunks), "members")
     scratch.drop("chunks")
 
@@ -329,7 +335,7 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
 
     # Among one text of each class the whole sets decide; what loses its partners leaves, and takes lists with it.
     full = scratch.put(_chunks(docs.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), words, percent, whole=True), "full")
-    left = scratch.put(_short_lists(full, _shared_heads(full, parts), percent, whole=True), "left")
+    left = scratch.put(_short_lists(full, _shared_heads(full), percent, whole=True), "left")
     # A list is cut by bands of size: partners' sizes lie in one band or in neighbouring ones.
     ratio = F.log(F.lit(100.0 / percent))
     banded = left.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + F.lit(1e-9)))
