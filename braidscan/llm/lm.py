@@ -261,28 +261,28 @@ class Gru:
         dealt = lanes_of(docs, LANES)
         if not dealt:
             return scores
-        lines = [np.concatenate([docs[d] for d in ds]) for ds in dealt]
-        sizes = np.array([len(x) for x in lines])
-        token = np.zeros((len(lines), sizes[0]), np.int32)
-        reads = np.full((len(lines), sizes[0]), self.INPUTS - 1, np.int32)
-        owner = np.zeros((len(lines), sizes[0]), np.int32)
-        for k, ds in enumerate(dealt):
-            token[k, : sizes[k]] = lines[k]
-            own = np.repeat(ds, [len(docs[d]) for d in ds])
-            owner[k, : sizes[k]] = own
-            reads[k, 1 : sizes[k]] = np.where(own[1:] == own[:-1], lines[k][:-1], self.INPUTS - 1)
-        h = np.zeros((len(lines), UNITS), F32)
+        # Lanes lie one after the other in flat arrays, so a very long text does not widen the others' lanes.
+        order = [d for ds in dealt for d in ds]
+        token = np.concatenate([docs[d] for d in order])
+        owner = np.repeat(order, [len(docs[d]) for d in order]).astype(np.int32)
+        reads = np.full(len(token), self.INPUTS - 1, np.int32)
+        reads[1:] = np.where(owner[1:] == owner[:-1], token[:-1], self.INPUTS - 1)
+        sizes = np.array([sum(len(docs[d]) for d in ds) for ds in dealt])
+        first = np.cumsum(sizes) - sizes
+        h = np.zeros((len(sizes), UNITS), F32)
         for at in range(0, int(sizes[0]), WINDOW):
             lanes = int(np.searchsorted(-sizes, -at, "left"))
-            cut = slice(at, min(at + WINDOW, int(sizes[0])))
-            inputs = reads[:lanes, cut].T
+            steps = np.arange(at, min(at + WINDOW, int(sizes[0])))[:, None]
+            live = steps < sizes[None, :lanes]
+            place = first[None, :lanes] + np.minimum(steps, sizes[None, :lanes] - 1)
+            inputs = np.where(live, reads[place], self.INPUTS - 1)
+            place, live = place[live], live.ravel()
             hs, gates = self.forward(h[:lanes], inputs)
             h = hs[-1]
-            live = (np.arange(cut.start, cut.stop)[:, None] < sizes[None, :lanes]).ravel()
-            hid, target = hs[1:].reshape(-1, UNITS)[live], token[:lanes, cut].T.ravel()[live]
+            hid, target = hs[1:].reshape(-1, UNITS)[live], token[place]
             grads = {} if rate else None
             logs, d_hid = self.outputs(hid, target, grads)
-            scores += np.bincount(owner[:lanes, cut].T.ravel()[live], weights=logs, minlength=len(docs))
+            np.add.at(scores, owner[place], logs)
             if rate:
                 d_out = np.zeros((inputs.size, UNITS), F32)
                 d_out[live] = d_hid
