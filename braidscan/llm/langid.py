@@ -77,7 +77,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at])], schema=schema)
 
-    rows = docs.select("lang", "text").mapInArrow(partial, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGS * BUCKETS).collect()
+    rows = docs.select("lang", "text").mapInArrow(partial, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(MAX_LANGS * BUCKETS + 1).collect()  # a language more than MAX_LANGS would fill it
     langs = sorted({r["lang"] for r in rows})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
