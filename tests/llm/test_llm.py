@@ -215,3 +215,63 @@ def test_decontamination_meets_passages_at_the_edit_limit(kind):
         text = " ".join([*rng.choice(vocabulary, 50), *edited, *rng.choice(vocabulary, 50)])
         met += i in {m[0] for m in index.matches(wordhash.words([text.encode()])[0])}
     assert met >= 57
+
+
+#: Names the operators use inside, or return, as further columns of documents.
+CLASHING = ["_doc", "_body", "row", "body", "pos", "h1", "n_lines", "n_dropped", "kept_text", "score", "stats", "component_id", "n_shingles", "n_tokens", "word", "item_id", "a.b"]
+
+
+def clashing_docs(spark):
+    """Rows with nulls in every column, a repeated row, and extra columns with names the operators use."""
+    line = "A line that is long enough to count"
+    texts = [line, line, line, line, None, "", "a b c d e", None, "the cat sat on the mat " * 9]
+    ids = [1, 2, 3, 3, 4, 5, None, None, 6]
+    rows = [(i, t, None if k % 3 == 0 else "en", None, None, *[f"x{k}"] * len(CLASHING)) for k, (i, t) in enumerate(zip(ids, texts))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    docs = clashing_docs(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (None, 1, 1), (6, None, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, "a b c d e"), (7, None), (8, ""), (9, "a b c d e"), (9, "a b c d e")], "item_id long, text string")
+    kept = line_dedup.dedup_lines(docs).select("doc_id", "n_dropped", "_doc").collect()
+    assert len(kept) == 9 and sorted(r.n_dropped for r in kept if r.doc_id in (1, 2, 3)) == [0, 0, 1, 1]
+    for rows in (pseudonyms.pseudonymise(docs), langid.predict(docs), lm.score_documents(docs), quality.score_documents(docs, labels)):
+        assert rows.count() == 9
+    assert bpe.tokenize(docs, tokenizer_file("word_bpe_49k.json")).count() == 9
+    groups = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(docs).collect())
+    assert [g[0] for g in groups] == [1, 2, 3, 3, 4, 5, 6] and [g[2] for g in groups] == [1, 1, 1, 1, 4, 5, 6]
+    assert [(r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(docs.fillna({"doc_id": 70}), bench).collect()] == [(70, 9, 0)]
+    for what, stage in corpus_pipeline.STAGES[1:-1]:
+        # The stages read their tables themselves; these three need only documents and the benchmark.
+        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, what
+
+
+def test_rewritten_texts_keep_all_other_columns(spark):
+    docs = clashing_docs(spark)
+    got = sorted(line_dedup.rewrite_texts(docs).collect(), key=lambda r: r.row)
+    assert [r.text for r in got] == ["", "", *[r.text for r in sorted(docs.collect(), key=lambda r: r.row)][2:]]
+    assert all(r[c] == r.row for r in got for c in CLASHING) and [r.n_chars for r in got[:3]] == [0, 0, 35]
+
+
+def test_a_very_long_text_does_not_widen_the_other_lanes():
+    """Scores are the same whether a long text travels alone or with others, and memory follows the tokens."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, lm.MODEL_WORDS, n).astype(np.int32) for n in [200_000, *[30] * 300]]
+    net = lm.Gru()
+    tracemalloc.start()
+    together = net.run(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert np.allclose(together, np.concatenate([net.run([d]) for d in (docs[0], docs[1])] + [net.run(docs[2:])]), rtol=1e-4)
+    assert net.run([]).shape == (0,)
+
+
+def test_pages_with_nulls_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(None, None, None, "x", "y"), (1, "http://a.b/", None, "x", "y"), (1, "http://a.b/", None, "x", "y")], "page_id long, url string, html string, host string, verdict string")
+    got = urlfilter.judge(pages).collect()
+    assert sorted((r.page_id or 0, r.host) for r in got) == [(0, ""), (1, "a.b"), (1, "a.b")]
+    assert urlfilter.judge(pages.filter("false")).count() == 0
