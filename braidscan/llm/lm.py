@@ -273,19 +273,26 @@ class Gru:
         for at in range(0, int(sizes[0]), WINDOW):
             lanes = int(np.searchsorted(-sizes, -at, "left"))
             steps = np.arange(at, min(at + WINDOW, int(sizes[0])))[:, None]
-            live = steps < sizes[None, :lanes]
-            place = first[None, :lanes] + np.minimum(steps, sizes[None, :lanes] - 1)
-            inputs = np.where(live, reads[place], self.INPUTS - 1)
-            place, live = place[live], live.ravel()
+            place = steps + first[None, :lanes]
+            live = None  # all of it; lanes come longest first, so the last one tells
+            if steps[-1, 0] >= sizes[lanes - 1]:
+                live = steps < sizes[None, :lanes]
+                inputs = np.where(live, reads[np.where(live, place, 0)], self.INPUTS - 1)
+                place, live = place[live], live.ravel()
+            else:
+                inputs, place = reads[place], place.ravel()
             hs, gates = self.forward(h[:lanes], inputs)
             h = hs[-1]
-            hid, target = hs[1:].reshape(-1, UNITS)[live], token[place]
+            hid, target = hs[1:].reshape(-1, UNITS), token[place]
+            hid = hid if live is None else hid[live]
             grads = {} if rate else None
             logs, d_hid = self.outputs(hid, target, grads)
-            np.add.at(scores, owner[place], logs)
+            scores += np.bincount(owner[place], weights=logs, minlength=len(docs))
             if rate:
-                d_out = np.zeros((inputs.size, UNITS), F32)
-                d_out[live] = d_hid
+                d_out = d_hid
+                if live is not None:
+                    d_out = np.zeros((inputs.size, UNITS), F32)
+                    d_out[live] = d_hid
                 self.backward(inputs, hs, gates, d_out.reshape(*inputs.shape, UNITS), grads)
                 for k in grads:
                     grads[k] /= F32(64)
