@@ -33,9 +33,9 @@ from braidscan.llm.ngram_join import _batches
 from braidscan.runtime import Scratch
 
 #: Words of the model (with the end mark), words of a class, words whose counts travel to the tasks.
-MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 256, 32, 200_000
+MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 1024, 32, 200_000
 #: Tail classes by shape; units; lanes; steps of a window; tokens packed at once.
-TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 16, 192, 20, 3_000_000
+TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 20, 256, 12, 3_000_000
 #: Bounded sample of the warm start; its passes; how many weight sums meet on the driver.
 WARM_TOKENS, WARM_PASSES, AVERAGES = 400_000, 2, 8
 #: Distinct words a worker counts before it lets go.

@@ -275,3 +275,13 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     got = urlfilter.judge(pages).collect()
     assert sorted((r.page_id or 0, r.host) for r in got) == [(0, ""), (1, "a.b"), (1, "a.b")]
     assert urlfilter.judge(pages.filter("false")).count() == 0
+
+
+def test_the_network_predicts_the_thousand_most_frequent_words():
+    """Words far down the list are predicted themselves, not by their shape."""
+    words = [f"word{i}" for i in range(1200)]
+    lexicon = lm.Lexicon([("", 5000)] + [(w, 4000 - i) for i, w in enumerate(words)], 1_000_000, 1201, {})
+    ids = lexicon.read(" ".join(words).encode())[0]
+    assert ids[:1023].tolist() == list(range(1, 1024)) and ids[1023:-1].min() >= lm.MODEL_WORDS and ids[-1] == 0
+    net = lm.Gru()
+    assert net.w["uw"].shape == (1024, 20) and net.w["wh"].shape == (20, 60)
