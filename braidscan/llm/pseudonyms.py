@@ -12,6 +12,8 @@ Defined cases
   null doc_id      rewritten like any other
   extra columns    ignored
   ties             where two kinds could match, the one listed first takes the text
+  neighbours       where a run of digits or capitals is not valid as a whole, shorter ends and later
+                   starts are tried; of a card, all groups but the last then have 3 digits or more
 """
 
 from __future__ import annotations
@@ -40,7 +42,14 @@ _FIND = re.compile(
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\d])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\- ]\d{4}(?!\d))"
     r"|(?P<card>(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d))"
+    r"|(?P<blanks>(?<!\d)\d{3} \d{3} \d{4}(?!\d))"
+    r"|(?P<world>(?<![\d+])\+[1-9](?:[ .\-]?\(?\d\)?){7,14}(?!\d))"
 )
+# The alternatives one by one, for what else begins where a finding turned out not to be valid.
+_EACH = {k: re.compile(p) for k, p in zip(_FIND.groupindex, re.split(r"\|(?=\(\?P<)", _FIND.pattern))}
+# Characters of an IBAN by country; country codes of one and two digits.
+_IBAN_LENGTH = {c: int(n) for n, cs in (w.split(":") for w in "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS 23:AE,GI,IL,IQ,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT,LY 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC".split()) for c in cs.split(",")}
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)")
 
 
@@ -96,6 +105,25 @@ def iban_valid(iban: str) -> bool:
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _ends(kind: str, run: str, again: bool):
+    """Where a finding of this kind may end in a run, likeliest first."""
+    if kind == "iban":
+        ends = [e for e in range(len(run), 0, -1) if (e == len(run) or run[e] == " ") and len(run[:e].replace(" ", "")) >= 12]
+        size = _IBAN_LENGTH.get(run[:2])
+        own = [e for e in ends if len(run[:e].replace(" ", "")) == size]
+        yield from own
+        yield from (e for e in (ends[:1] if size else ends) if e not in own)
+    elif kind == "card":
+        for e in range(len(run), 12, -1):
+            if (e == len(run) or not run[e].isdigit()) and run[e - 1].isdigit():
+                groups = re.split("[ -]", run[:e])
+                whole = e == len(run) and not again
+                if sum(map(len, groups)) >= 13 and (whole or all(len(g) > 2 for g in groups[:-1])):
+                    yield e
+    else:
+        yield len(run)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes = DEMO_KEY):
         self.permute = Permutation(key)
@@ -189,6 +217,14 @@ class Pseudonyms:
         moved = self._mixed([(int(d) - b, r) for d, b, r in zip(own, base, radix)], "phone" + "".join(map(str, radix)))
         return self._fill(text, "".join(lead) + "".join(str(m + b) for m, b in zip(moved, base)))
 
+    def _blanks(self, text: str) -> str:
+        return self._phone(text)
+
+    def _world(self, text: str) -> str:
+        digits = "".join(c for c in text if c.isdigit())
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in _CODES), digits[:3])
+        return self._fill(text, code + self.characters(digits[len(code) :], "phone+" + code))
+
     def _card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
         if not luhn_valid(digits):
@@ -196,20 +232,34 @@ class Pseudonyms:
         body = digits[0] + self.characters(digits[1:-1], "card" + digits[0])
         return self._fill(text, body + luhn_digit(body))
 
+    def _first_valid(self, text: str, m: re.Match, again: bool) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of what is valid from where m starts; again: inside a run that was not valid."""
+        kinds, start = list(_EACH), m.start()
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            own = m if kind == m.lastgroup else _EACH[kind].match(text, start)
+            for end in _ends(kind, own[0], again) if own else ():
+                new = self.replace(kind, own[0][:end])
+                if new is not None:
+                    return kind, start + end, new
+        return None
+
     def rewrite(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         counts: dict[str, int] = {}
         if not text or not _MAYBE.search(text):
             return text, counts
 
-        def one(m):
-            kind = m.lastgroup
-            new = self.replace(kind, m[0])
-            if new is None:
-                return m[0]
+        out, done, at, spent = [], 0, 0, 0
+        while m := _FIND.search(text, at):
+            found = self._first_valid(text, m, m.start() < spent)
+            if found is None:
+                at, spent = m.start() + 1, max(spent, m.end())
+                continue
+            kind, end, new = found
+            kind = "phone" if kind in ("blanks", "world") else kind
             counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return _FIND.sub(one, text), counts
+            out += (text[done : m.start()], new)
+            done = at = end
+        return "".join(out) + text[done:], counts
 
 
 @functools.lru_cache(maxsize=4)

@@ -285,3 +285,25 @@ def test_the_network_predicts_the_thousand_most_frequent_words():
     assert ids[:1023].tolist() == list(range(1, 1024)) and ids[1023:-1].min() >= lm.MODEL_WORDS and ids[-1] == 0
     net = lm.Gru()
     assert net.w["uw"].shape == (1024, 20) and net.w["wh"].shape == (20, 60)
+
+
+@pytest.mark.parametrize("text, kind, kept", [
+    ("4111 1111 1111 1111 123", "card", " 123"), ("12 4111 1111 1111 1111", "card", "12 "), ("order 2024 4111-1111-1111-1111", "card", "order 2024 "),
+    ("AT61 1904 3002 3457 3201 EUR", "iban", " EUR"), ("BE68 5390 0754 7034 THIS", "iban", " THIS"), ("XY12 GB82 WEST 1234 5698 7654 32", "iban", "XY12 "),
+    ("call 555 123 4567 now", "phone", " now"), ("+44 20 7946 0958", "phone", "+44 "), ("+353 1 234 5678", "phone", "+353 "),
+])
+def test_findings_beside_other_numbers_and_words(text, kind, kept):
+    names = pseudonyms.Pseudonyms(b"k")
+    out, counts = names.rewrite(text)
+    assert counts == {kind: 1} and kept in out and len(out) == len(text) and out != text
+    body = out.replace(kept, "", 1)
+    if kind == "card":
+        assert pseudonyms.luhn_valid("".join(c for c in body if c.isdigit()))
+    if kind == "iban":
+        assert pseudonyms.iban_valid(body.replace(" ", ""))
+
+
+def test_rows_of_digits_are_no_cards_and_layouts_agree():
+    names = pseudonyms.Pseudonyms(b"k")
+    assert names.rewrite("2 " + "0 " * 30)[1] == {} and names.rewrite("4111 1111 1111 1112")[1] == {}
+    assert names.rewrite("+442079460958")[0].replace(" ", "") == names.rewrite("+44 20 7946 0958")[0].replace(" ", "")
