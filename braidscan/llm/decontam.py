@@ -121,7 +121,7 @@ class ItemIndex:
             for number in range(WALKS):  # another walk only where those before it verified nothing
                 for start in self._meeting(t, w, words, starts, number):
                     a = max(0, start - e)
-                    edits, end = best_stretch(w, words[a : start + n + e])
+                    edits, end = best_stretch(w, words[a : start + n + 2 * e])
                     if edits <= e and (found is None or edits < found[0]):
                         found = (edits, max(0, a + end - n))
                         if edits == 0:
@@ -141,7 +141,7 @@ class ItemIndex:
             keys = sampled_keys(walk(padded[s[:, None] + np.arange(n)[None]], number))
             last = -(10**9)
             for start in s[(keys == self.keys[number][t][None]).any(1)]:
-                # One exact comparison covers a window's shifts on either side.
+                # One exact comparison covers a window's shifts on either side, with room for added words behind.
                 if start - last > e or start == last:
                     last = start
                     yield int(start)

@@ -307,3 +307,13 @@ def test_rows_of_digits_are_no_cards_and_layouts_agree():
     names = pseudonyms.Pseudonyms(b"k")
     assert names.rewrite("2 " + "0 " * 30)[1] == {} and names.rewrite("4111 1111 1111 1112")[1] == {}
     assert names.rewrite("+442079460958")[0].replace(" ", "") == names.rewrite("+44 20 7946 0958")[0].replace(" ", "")
+
+
+def test_a_check_covers_the_windows_skipped_behind_it(monkeypatch):
+    """An item met only through a window before it is found with all its added words."""
+    item = [f"w{i}" for i in range(25)]
+    index = decontam.ItemIndex([1], [" ".join(item).encode()])
+    e = index.edits[0]
+    text = [f"x{i}" for i in range(40)] + item[:8] + [f"new{i}" for i in range(e)] + item[8:] + [f"y{i}" for i in range(40)]
+    monkeypatch.setattr(index, "_meeting", lambda t, w, words, starts, number: iter([40 - e]))
+    assert [(i, k) for i, k, _, _ in index.matches(wordhash.words([" ".join(text).encode()])[0])] == [(1, e)]
