@@ -18,6 +18,7 @@ Defined cases
 from __future__ import annotations
 
 import array
+import codecs
 import functools
 import hashlib
 import json
@@ -139,38 +140,33 @@ class Transducer:
 
 
 class TextMachine:
-    """Incremental decoder from token strings to text.
+    """Incremental decoder from token ids to text.
 
-    ``spaced`` gives the vocabulary's own strings joined by blanks, as a tokenizer without
-    a decoder prints them. Otherwise the strings' bytes run through a UTF-8 state machine
-    that keeps at most three pending bytes, and a word end becomes a blank.
+    Every id stands for some bytes; a UTF-8 state machine turns them into text and keeps at
+    most three pending bytes between calls. ``spaced`` gives the vocabulary's own strings,
+    each after the first led by a blank, as a tokenizer without a decoder prints them;
+    otherwise ids give the bytes they encode, and a word's end becomes a blank.
     """
 
-    def __init__(self, spaced: bool = True):
-        import codecs
-
-        self.spaced, self.first = spaced, True
-        self.bytes_of = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
+    def __init__(self, spaced: bool, raw: dict[int, bytes]):
+        self.spaced, self.raw, self.first = spaced, raw, True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, token: str, special: bool = False) -> str:
-        if self.spaced:
-            glue, self.first = "" if self.first else " ", False
-            return glue + token
-        body, ends = (token[: -len(END)], True) if token.endswith(END) and not special else (token, False)
-        raw = body.encode() if special else b"".join(self.bytes_of[c] for c in body)
-        return self.utf8.decode(raw + b" " * ends)
+    def push(self, ids: Iterable[int]) -> str:
+        data = b"".join(map(self.raw.__getitem__, ids))
+        if self.spaced and self.first and data:
+            data, self.first = data[1:], False
+        return self.utf8.decode(data)
 
     def close(self) -> str:
-        return "" if self.spaced else self.utf8.decode(b"", True)
+        return self.utf8.decode(b"", True)
 
 
 class WordBpe:
     """A tokenizer file of the byte-level, word-ending kind: NFC, lower case, white space dropped."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         self.table = MergeTable(merges, spec["model"]["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -180,59 +176,45 @@ class WordBpe:
         self.pieces = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}"))
         self.blank = regex.compile(r"\p{White_Space}+")
         self.alphabet = byte_alphabet()
-        self.names = {i: t for t, i in self.table.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.words: dict[str, tuple[str, ...]] = {}
-        self.fresh: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        names = {i: t for t, i in self.table.vocab.items()} | {i: t for t, i in self.special.items()}
+        byte_of = {c: bytes([b]) for b, c in enumerate(self.alphabet)}
+        #: The bytes of each id, by what the machine prints: strings led by blanks, or the bytes behind them.
+        self.printed = {i: b" " + t.encode() for i, t in names.items()}
+        self.plain = {
+            i: t.encode() if t in self.special else b"".join(byte_of[c] for c in t.removesuffix(END)) + b" " * t.endswith(END) for i, t in names.items()
+        }
+        self.words: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def tokens_of(self, piece: str) -> Iterator[str]:
-        """The tokens of one word, streamed where it is long."""
+        """The tokens of one word, as the transducer settles them."""
         word = Transducer(self.table)
         for at in range(0, len(piece), SLICE_CHARS):
-            yield from word.feed("".join(map(self.alphabet.__getitem__, piece[at : at + SLICE_CHARS].encode())))
+            part = piece[at : at + SLICE_CHARS]
+            yield from word.feed(part if part.isascii() and part.isprintable() else "".join(map(self.alphabet.__getitem__, part.encode())))
         yield from word.finish()
 
-    def _short(self, piece: str) -> list[str]:
-        """Like tokens_of for a word that one step of the transducer holds whole."""
-        parts = list(piece) if piece.isascii() else list(map(self.alphabet.__getitem__, piece.encode()))
-        parts[-1] += END
-        return self.table.merged(parts)
-
-    def _chunk_tokens(self, chunk: str) -> Iterator[str]:
-        for m in self.pieces.finditer(chunk):
-            piece = m[0]
-            if len(piece) > 64 or not piece.isprintable():
-                yield from self.tokens_of(piece)
-            else:
-                yield from self._short(piece)
+    def _packed(self, tokens: Iterable[str]) -> bytes:
+        """Ids as little-endian 32-bit integers; what the vocabulary lacks is left out."""
+        vocab = self.table.vocab
+        return array.array("I", [vocab[t] for t in tokens if t in vocab]).tobytes()
 
-    def _word(self, piece: str) -> tuple[str, ...]:
-        """A short word's tokens, from the second cache: words recur with other punctuation."""
+    def _word(self, piece: str) -> bytes:
+        """A word's ids; short words come from the transducer once and then from a cache of its outputs."""
         found = self.words.get(piece)
         if found is None:
-            found = tuple(self._short(piece))
-            if len(self.words) >= CACHE_ENTRIES // 2:
-                self.words = {}
-            self.words[piece] = found
+            found = self._packed(self.tokens_of(piece))
+            if len(piece) <= 64:
+                if len(self.words) >= CACHE_ENTRIES // 2:
+                    self.words = {}
+                self.words[piece] = found
         return found
 
-    def _miss(self, chunk: str) -> tuple[bytes, str]:
-        if len(chunk) > 64 or not chunk.isprintable():
-            return self._packed(self._chunk_tokens(chunk))
-        tokens: list[str] = []
-        for piece in self.pieces.findall(chunk):
-            tokens += self._word(piece)
-        return self._packed(tokens)
-
-    def _packed(self, tokens: Iterable[str]) -> tuple[bytes, str]:
-        vocab = self.table.vocab
-        kept = [t for t in tokens if t in vocab]
-        return array.array("I", [vocab[t] for t in kept]).tobytes(), " ".join(kept)
-
-    def _cached(self, chunk: str) -> tuple[bytes, str]:
+    def _cached(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            found = self._miss(chunk)
+            found = b"".join(map(self._word, self.pieces.findall(chunk)))
         if len(chunk) <= 64:
             if len(self.fresh) >= CACHE_ENTRIES:
                 self.old, self.fresh = self.fresh, {}
@@ -256,7 +238,7 @@ class WordBpe:
             yield text[at:to]
             at = to
 
-    def _segment(self, text: str) -> Iterator[list[tuple[bytes, str]]]:
+    def _segment(self, text: str) -> Iterator[bytes]:
         for part in self._slices(text):
             low = self._normal(part)
             if _SEPARATORS.search(low):
@@ -268,58 +250,69 @@ class WordBpe:
                     if len(c) > _LONG:
                         yield from self._long(c)
                     else:
-                        yield [self._cached(c)]
+                        yield self._cached(c)
                 continue
             got = list(map(self.fresh.get, chunks))
             if None in got:
-                got = [g or self._cached(c) for g, c in zip(got, chunks)]
-            yield got
+                got = [self._cached(c) if g is None else g for g, c in zip(got, chunks)]
+            yield b"".join(got)
 
-    def _long(self, chunk: str) -> Iterator[list[tuple[bytes, str]]]:
+    def _long(self, chunk: str) -> Iterator[bytes]:
         held: list[str] = []
-        for t in self._chunk_tokens(chunk):
-            held.append(t)
-            if len(held) == 4096:
-                yield [self._packed(held)]
-                held = []
+        for m in self.pieces.finditer(chunk):
+            for t in self.tokens_of(m[0]):
+                held.append(t)
+                if len(held) == 4096:
+                    yield self._packed(held)
+                    held = []
         if held:
-            yield [self._packed(held)]
+            yield self._packed(held)
 
-    def stream(self, text: str) -> Iterator[list[tuple[bytes, str]]]:
-        """Lists of (ids as little-endian 32-bit integers, their strings joined by blanks), part by part."""
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian 32-bit integers, part by part."""
         if self.specials is None or not self.specials.search(text):
             yield from self._segment(text)
             return
         for part in self.specials.split(text):
             if part in self.special:
-                yield [(struct.pack("<I", self.special[part]), part)]
+                yield struct.pack("<I", self.special[part])
             elif part:
                 yield from self._segment(part)
 
+    def machine(self, spaced: bool = True) -> TextMachine:
+        return TextMachine(spaced, self.printed if spaced else self.plain)
+
     def encode(self, text: str | None) -> list[int]:
-        raw = b"".join([x[0] for part in self.stream(text or "") for x in part])
+        raw = b"".join(self.stream(text or ""))
         return list(struct.unpack(f"<{len(raw) // 4}I", raw))
 
     def decode(self, ids: Iterable[int], spaced: bool = True) -> str:
-        machine = TextMachine(spaced)
-        out = [machine.push(self.names[i], self.names[i] in self.special) for i in ids if i in self.names]
-        return "".join(out) + machine.close()
+        machine = self.machine(spaced)
+        return machine.push(i for i in ids if i in machine.raw) + machine.close()
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Token count and the two hashes, from parts of bounded size."""
-        n, ids, words, glue = 0, hashlib.sha256(), hashlib.sha256(), ""
-        for part in self.stream(text or ""):
-            raw = b"".join([x[0] for x in part])
-            if raw:
-                ids.update(raw)
-                words.update((glue + " ".join([x[1] for x in part if x[0]])).encode())
-                n, glue = n + len(raw) // 4, " "
+        """Token count and the two hashes: ids as the transducer emits them, text as the machine decodes these ids."""
+        n, ids, words, machine = 0, hashlib.sha256(), hashlib.sha256(), self.machine()
+        for raw in self.stream(text or ""):
+            ids.update(raw)
+            words.update(machine.push(array.array("I", raw)).encode())
+            n += len(raw) // 4
+        words.update(machine.close().encode())
         return n, ids.hexdigest(), words.hexdigest()
 
 
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @functools.lru_cache(maxsize=2)
+def _built(file: bytes) -> WordBpe:
+    return WordBpe(file)
+
+
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return _built(read(path))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
@@ -327,8 +320,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Da
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [pa.field("ids", pa.list_(pa.int32()))] * with_ids)
 
+    # The driver reads the file; executors need not see its folder.
+    file = docs.sparkSession.sparkContext.broadcast(read(tokenizer_path))
+
     def run(batches):
-        bpe = load(tokenizer_path)
+        bpe = _built(file.value)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             rows = [bpe.digests(t.as_py()) for t in texts]
