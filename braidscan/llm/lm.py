@@ -6,8 +6,10 @@ other words into TAIL classes by their shape. A GRU reads the text; a softmax ov
 then one over the words of the class, gives a word's probability. Inside a tail class a word has
 its smoothed share of the class's counts, so every word, seen or not, has a probability.
 Training: truncated backpropagation in numpy. A warm start on a bounded sample on the driver
-(WARM_TOKENS), then every partition goes once over all its training texts and the weights are
-averaged by tokens. Scoring carries the state across windows through the whole text.
+(WARM_TOKENS, drawn by hash from the whole corpus), then one pass over all training texts, dealt by
+hash into AVERAGINGS parts: in each, every partition trains from the common weights on its texts of
+the part (long ones in pieces, all of them), and the weights are averaged by tokens. Scoring carries
+the state across windows through the whole text.
 
 Defined cases
   null or empty text   one token, the end mark
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from braidscan.runtime import Scratch
 MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 1024, 32, 200_000
 #: Tail classes by shape; units; lanes; steps of a window; tokens packed at once.
 TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 20, 256, 12, 3_000_000
-#: Bounded sample of the warm start; its passes; how many weight sums meet on the driver.
-WARM_TOKENS, WARM_PASSES, AVERAGES = 400_000, 2, 8
+#: Lanes when weights stay as they are: how many changes no score.
+SCORE_LANES = 1024
+#: Bounded sample of the warm start, in tokens and texts; its passes; how often weights are averaged; how many sums meet on the driver.
+WARM_TOKENS, WARM_TEXTS, WARM_PASSES, AVERAGINGS, SLOTS = 400_000, 20_000, 2, 4, 8
 #: Distinct words a worker counts before it lets go.
 HELD = 200_000
 CLASSES = MODEL_WORDS // CLASS_WORDS + TAIL
@@ -61,7 +66,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
     def rows(c):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
 
     def run(batches):
         c: Counter = Counter()
@@ -105,16 +110,16 @@ class Lexicon:
     def read(self, text: bytes | None):
         """(model ids with the end mark, sum of known log10(c + 1), the same of tail words, known, rare words)."""
         ws = words_of(text)
-        at = np.fromiter(map(self.index.get, ws, _MISSING), np.int64, len(ws))
+        at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
         ids = np.empty(len(ws) + 1, np.int32)
         ids[:-1] = self.model[at]
         ids[-1] = 0
         rare = np.flatnonzero(at < 0)
-        found: Counter = Counter()
-        for j in rare.tolist():
-            w = ws[j]
-            ids[j] = MODEL_WORDS + shape(w)
-            found[w] += 1
+        unknown = [ws[j] for j in rare.tolist()]
+        found = Counter(unknown)
+        if unknown:
+            classes = {w: MODEL_WORDS + shape(w) for w in found}
+            ids[rare] = list(map(classes.__getitem__, unknown))
         known = at[at >= 0]
         logs = self.log_c[known]
         has_end = self.end < len(self.model) - 1
@@ -123,17 +128,6 @@ class Lexicon:
         return ids, base, tail, len(known) + has_end, found
 
 
-class _Missing:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MISSING = _Missing()
-
-
 def lanes_of(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
     """Documents dealt to lanes, longest first to the shortest lane; lanes come longest first."""
     import heapq
@@ -147,118 +141,170 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
     return sorted(dealt, key=lambda ds: -sum(len(docs[d]) for d in ds))
 
 
+def pieces(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Texts to learn from, cut to a lane's share, lest the last updates follow the longest text alone."""
+    share = max(64 * WINDOW, -(-sum(map(len, docs)) // LANES))
+    return [d[at : at + share] for d in docs for at in range(0, len(d), share)]
+
+
 class Gru:
-    """Weights and passes of the network. Inputs are the previous token; a text starts from the start mark."""
+    """Weights and passes of the network. Inputs are the previous token; a text starts from the start mark.
 
-    INPUTS = MODEL_WORDS + TAIL + 1
-    NAMES = ("x", "wh", "bh", "uc", "bc", "uw", "bw")
+    All weights are views of one flat vector, so that an update is a few passes over that vector.
+    """
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None):
+    INPUTS, INNER = MODEL_WORDS + TAIL + 1, MODEL_WORDS // CLASS_WORDS
+    #: Inputs; state to gates, classes and words, each with its bias as a last row or column.
+    SHAPES = {"x": (INPUTS, 3 * UNITS), "gates": (UNITS + 1, 3 * UNITS), "classes": (UNITS + 1, CLASSES), "words": (INNER, CLASS_WORDS, UNITS + 1)}
+    SIZE = sum(math.prod(s) for s in SHAPES.values())
+
+    def __init__(self, flat: np.ndarray | None = None):
         rng = np.random.Generator(np.random.PCG64(7))
-        h = UNITS
-        self.w = weights or {
-            "x": (rng.standard_normal((self.INPUTS, 3 * h)) * 0.1).astype(F32),
-            "wh": (rng.standard_normal((h, 3 * h)) / math.sqrt(h)).astype(F32),
-            "bh": np.zeros(3 * h, F32),
-            "uc": (rng.standard_normal((h, CLASSES)) * 0.1).astype(F32),
-            "bc": np.zeros(CLASSES, F32),
-            "uw": (rng.standard_normal((MODEL_WORDS, h)) * 0.1).astype(F32),
-            "bw": np.zeros(MODEL_WORDS, F32),
-        }
-        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
+        self.flat = np.zeros(self.SIZE, F32) if flat is None else flat.astype(F32)
+        self.w = self._views(self.flat)
+        if flat is None:
+            for k, scale in (("x", 0.1), ("wh", 1 / math.sqrt(UNITS)), ("uc", 0.1), ("uw", 0.1)):
+                self.w[k][:] = rng.standard_normal(self.w[k].shape) * scale
+        self.slope = self.m = self.v = None
         self.steps = 0
 
+    @classmethod
+    def _views(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a flat vector by name, and their parts without biases: wh, uc, uw."""
+        out, at = {}, 0
+        for k, shape in cls.SHAPES.items():
+            out[k] = flat[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        out |= {"wh": out["gates"][:UNITS], "uc": out["classes"][:UNITS], "uw": out["words"].reshape(MODEL_WORDS, UNITS + 1)[:, :UNITS]}
+        return out
+
     def forward(self, h: np.ndarray, inputs: np.ndarray):
         """States after each step of a window (steps, lanes), with what the backward pass needs."""
-        w, n, u = self.w, UNITS, inputs.shape[0]
-        hs = np.empty((u + 1, inputs.shape[1], n), F32)
+        w, n, (u, lanes) = self.w, UNITS, inputs.shape
+        live = (inputs != self.INPUTS - 1).astype(F32)[:, :, None]
+        xs = w["x"].take(inputs, axis=0)
+        hs, prev, c = np.empty((u + 1, lanes, n), F32), np.ones((u, lanes, n + 1), F32), np.empty((u, lanes, n), F32)
+        a, zr = np.empty((u, lanes, 3 * n), F32), np.empty((u, lanes, 2 * n), F32)
         hs[0] = h
-        gates = []
-        start = self.INPUTS - 1
-        xs = w["x"][inputs]
         for t in range(u):
-            prev = np.where((inputs[t] == start)[:, None], F32(0), hs[t])
-            a = prev @ w["wh"]
-            a += w["bh"]
-            zr = 1 / (1 + np.exp(-(xs[t, :, : 2 * n] + a[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(xs[t, :, 2 * n :] + r * a[:, 2 * n :])
-            hs[t + 1] = c + z * (prev - c)
-            gates.append((prev, z, r, c, a[:, 2 * n :]))
-        return hs, gates
+            np.multiply(hs[t], live[t], out=prev[t, :, :n])
+            np.matmul(prev[t], w["gates"], out=a[t])
+            g = zr[t]
+            np.add(xs[t, :, : 2 * n], a[t, :, : 2 * n], out=g)
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += F32(1)
+            np.reciprocal(g, out=g)
+            new = c[t]
+            np.multiply(g[:, n:], a[t, :, 2 * n :], out=new)
+            new += xs[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            np.subtract(prev[t, :, :n], new, out=hs[t + 1])
+            hs[t + 1] *= g[:, :n]
+            hs[t + 1] += new
+        return hs, (live, prev, zr, c, a)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-    def outputs(self, hid: np.ndarray, target: np.ndarray, grads: dict | None = None):
+    def _softmax(x: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities of the entries `own`, and the sums by which x, from now on exponentials, is to be divided."""
+        if bound > 60:  # else no sum can leave the range of single precision
+            np.clip(x, -60, 60, out=x)
+        at = x[np.arange(len(x)), own]
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], F32)
+        return at - np.log(total), total
+
+    def outputs(self, hid: np.ndarray, target: np.ndarray, slope: dict | None = None):
         """Natural log probabilities of the targets (a tail word's share of its class left out)."""
-        w = self.w
-        cls = np.where(target < MODEL_WORDS, target // CLASS_WORDS, MODEL_WORDS // CLASS_WORDS + target - MODEL_WORDS)
-        logs = self._log_softmax(hid @ w["uc"] + w["bc"])
-        rows = np.arange(len(target))
-        out = logs[rows, cls]
-        d_hid = None
-        if grads is not None:
-            d = np.exp(logs)
-            d[rows, cls] -= 1
-            grads["uc"], grads["bc"] = hid.T @ d, d.sum(0)
-            d_hid = d @ w["uc"].T
-            grads["uw"], grads["bw"] = np.zeros_like(w["uw"]), np.zeros_like(w["bw"])
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(MODEL_WORDS // CLASS_WORDS + 1))
-        for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if z == a:
-                continue
-            at, part = order[a:z], slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            inner = self._log_softmax(hid[at] @ w["uw"][part].T + w["bw"][part])
-            own = (np.arange(z - a), target[at] - k * CLASS_WORDS)
-            out[at] += inner[own]
-            if grads is not None:
-                d = np.exp(inner)
-                d[own] -= 1
-                grads["uw"][part], grads["bw"][part] = d.T @ hid[at], d.sum(0)
-                d_hid[at] += d @ w["uw"][part]
+        w, rows = self.w, len(target)
+        cls = np.where(target < MODEL_WORDS, target // CLASS_WORDS, self.INNER + target - MODEL_WORDS).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")  # rows of a class lie together
+        held = np.ones((rows, UNITS + 1), F32)
+        held[:, :UNITS] = hid.take(order, axis=0)
+        cls, target = cls[order], target[order]
+        cuts = np.searchsorted(cls, np.arange(self.INNER + 1))
+        logits = held @ w["classes"]
+        logs, total = self._softmax(logits, cls, float(np.abs(w["classes"]).sum(0).max()))
+        m = int(cuts[-1])  # rows that have a word of the model
+        inner = np.empty((m, CLASS_WORDS), F32)
+        parts = [(k, slice(x, y)) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+        for k, part in parts:
+            np.matmul(held[part], w["words"][k].T, out=inner[part])
+        own = target[:m] - cls[:m].astype(target.dtype) * CLASS_WORDS
+        if m:
+            more, inner_total = self._softmax(inner, own, float(np.abs(w["words"]).sum(2).max()))
+            logs[:m] += more
+        out = np.empty(rows, F32)
+        out[order] = logs
+        if slope is None:
+            return out, None
+        logits *= (1 / total)[:, None]
+        logits[np.arange(rows), cls] -= 1
+        np.matmul(held.T, logits, out=slope["classes"])
+        d = logits @ w["uc"].T
+        slope["words"][:] = 0
+        if m:
+            inner *= (1 / inner_total)[:, None]
+            inner[np.arange(m), own] -= 1
+            for k, part in parts:
+                np.matmul(inner[part].T, held[part], out=slope["words"][k])
+                d[part] += inner[part] @ w["words"][k, :, :UNITS]
+        d_hid = np.empty_like(d)
+        d_hid[order] = d
         return out, d_hid
 
-    def backward(self, inputs, hs, gates, d_out, grads) -> None:
+    def backward(self, inputs, hs, kept, d_out, slope) -> None:
         """Through the window's steps only: the truncation."""
-        w, n, u = self.w, UNITS, inputs.shape[0]
-        gx = np.empty((u, inputs.shape[1], 3 * n), F32)
-        grads["wh"], grads["bh"] = np.zeros_like(w["wh"]), np.zeros_like(w["bh"])
-        dh = np.zeros_like(hs[0])
+        n, (u, lanes) = UNITS, inputs.shape
+        live, prev, zr, c, a = kept
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        to_z = (prev[:, :, :n] - c) * z * (1 - z)
+        to_c = (1 - z) * (1 - c * c)
+        to_r = a[:, :, 2 * n :] * r * (1 - r)
+        gx, ga = np.empty((u, lanes, 3 * n), F32), np.empty((u, lanes, 3 * n), F32)
+        back = np.ascontiguousarray(self.w["wh"].T)
+        dh = np.zeros((lanes, n), F32)
         for t in range(u - 1, -1, -1):
-            prev, z, r, c, ac = gates[t]
             dh += d_out[t]
-            dz = dh * (prev - c) * z * (1 - z)
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * ac * r * (1 - r)
             g = gx[t]
-            g[:, :n], g[:, n : 2 * n], g[:, 2 * n :] = dz, dr, dc
-            da = np.concatenate((dz, dr, dc * r), axis=1)
-            grads["wh"] += prev.T @ da
-            grads["bh"] += da.sum(0)
-            dh = (dh * z + da @ w["wh"].T) * (inputs[t] != self.INPUTS - 1)[:, None]
-        grads["x"] = np.zeros_like(w["x"])
-        flat, order = inputs.ravel(), np.argsort(inputs.ravel(), kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-        grads["x"][flat[order][first]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first, axis=0)
-
-    def adam(self, grads: dict, rate: float) -> None:
+            np.multiply(dh, to_z[t], out=g[:, :n])
+            np.multiply(dh, to_c[t], out=g[:, 2 * n :])
+            np.multiply(g[:, 2 * n :], to_r[t], out=g[:, n : 2 * n])
+            ga[t, :, : 2 * n] = g[:, : 2 * n]
+            np.multiply(g[:, 2 * n :], r[t], out=ga[t, :, 2 * n :])
+            dh *= z[t]
+            dh += ga[t] @ back
+            dh *= live[t]
+        np.matmul(prev.reshape(-1, n + 1).T, ga.reshape(-1, 3 * n), out=slope["gates"])
+        slope["x"][:] = 0
+        read = inputs.ravel().astype(np.uint16)
+        order = np.argsort(read, kind="stable")
+        read = read[order]
+        first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+        slope["x"][read[first]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first, axis=0)
+
+    def adam(self, rate: float) -> None:
         self.steps += 1
         fix = rate * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k in self.NAMES:
-            g = np.clip(grads[k], -1, 1)
-            self.m[k] += F32(0.1) * (g - self.m[k])
-            self.v[k] += F32(0.01) * (g * g - self.v[k])
-            self.w[k] -= F32(fix) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-6))
+        g = self.slope
+        np.clip(g, -1, 1, out=g)
+        part = g - self.m
+        part *= F32(0.1)
+        self.m += part
+        np.multiply(g, g, out=part)
+        part -= self.v
+        part *= F32(0.01)
+        self.v += part
+        np.sqrt(self.v, out=part)
+        part += F32(1e-6)
+        np.divide(self.m, part, out=part)
+        part *= F32(fix)
+        self.flat -= part
 
     def run(self, docs: list[np.ndarray], rate: float | None = None) -> np.ndarray:
         """Natural log probability of each document; with a rate, weights learn on the way."""
         scores = np.zeros(len(docs))
-        dealt = lanes_of(docs, LANES)
+        dealt = lanes_of(docs, LANES if rate else SCORE_LANES)
         if not dealt:
             return scores
         # Lanes lie one after the other in flat arrays, so a very long text does not widen the others' lanes.
@@ -270,6 +316,11 @@ class Gru:
         sizes = np.array([sum(len(docs[d]) for d in ds) for ds in dealt])
         first = np.cumsum(sizes) - sizes
         h = np.zeros((len(sizes), UNITS), F32)
+        slope = None
+        if rate:
+            if self.m is None:
+                self.slope, self.m, self.v = (np.zeros(self.SIZE, F32) for _ in range(3))
+            slope = self._views(self.slope)
         for at in range(0, int(sizes[0]), WINDOW):
             lanes = int(np.searchsorted(-sizes, -at, "left"))
             steps = np.arange(at, min(at + WINDOW, int(sizes[0])))[:, None]
@@ -281,22 +332,20 @@ class Gru:
                 place, live = place[live], live.ravel()
             else:
                 inputs, place = reads[place], place.ravel()
-            hs, gates = self.forward(h[:lanes], inputs)
+            hs, kept = self.forward(h[:lanes], inputs)
             h = hs[-1]
             hid, target = hs[1:].reshape(-1, UNITS), token[place]
             hid = hid if live is None else hid[live]
-            grads = {} if rate else None
-            logs, d_hid = self.outputs(hid, target, grads)
+            logs, d_hid = self.outputs(hid, target, slope)
             scores += np.bincount(owner[place], weights=logs, minlength=len(docs))
             if rate:
                 d_out = d_hid
                 if live is not None:
                     d_out = np.zeros((inputs.size, UNITS), F32)
                     d_out[live] = d_hid
-                self.backward(inputs, hs, gates, d_out.reshape(*inputs.shape, UNITS), grads)
-                for k in grads:
-                    grads[k] /= F32(64)
-                self.adam(grads, rate)
+                self.backward(inputs, hs, kept, d_out.reshape(*inputs.shape, UNITS), slope)
+                self.slope *= F32(1 / 64)
+                self.adam(rate)
         return scores
 
 
@@ -309,12 +358,17 @@ def _encoded(docs: DataFrame, lexicon) -> DataFrame:
         lex, seq = lexicon.value, TaskContext.get().partitionId() << 40
         for b in batches:
             for doc_ids, texts in _batches(b):
-                rows = []
+                rows, words, times, ends = [], [], [], [0]
                 for i, t in zip(doc_ids, texts):
                     ids, base, tail, known, rare = lex.read(t)
-                    rows.append((seq, i, ids.astype(np.uint16).tobytes(), known, base, tail, [(x.decode(), k) for x, k in rare.items()]))
+                    rows.append((seq, i, ids.astype(np.uint16).tobytes(), known, base, tail))
+                    words += rare.keys()
+                    times += rare.values()
+                    ends.append(len(words))
                     seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["word", "k"])
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], schema=schema)
 
     ddl = "row long, doc_id long, ids binary, known long, base double, tail double, rare array<struct<word:string,k:long>>"
     return docs.mapInArrow(run, ddl)
@@ -335,41 +389,45 @@ def _packs(batches):
         yield held
 
 
-def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in Gru.NAMES]).astype(np.float64)
-
-
-def _unflat(v: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, like in Gru().w.items():
-        out[k] = v[at : at + like.size].reshape(like.shape).astype(F32)
-        at += like.size
-    return out
+def _sample(encoded: DataFrame) -> list[np.ndarray]:
+    """Texts of about WARM_TOKENS tokens by the hashes of their ids, wherever they lie in the table."""
+    size = F.octet_length("ids") / 2
+    total = encoded.agg(F.sum(size).alias("n")).first()["n"] or 0
+    drawn = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 20))
+    part = encoded.filter(drawn < math.ceil((1 << 20) * min(1.0, 1.5 * WARM_TOKENS / max(total, 1)))).select(drawn.alias("at"), size.alias("n"), "row")
+    # The lengths first: of a few texts above the bound none is read.
+    rows, held = [], 0
+    for r in part.orderBy("at", "row").toLocalIterator():
+        if held + r["n"] <= WARM_TOKENS or not rows:
+            rows.append(r["row"])
+            held += int(r["n"])
+        if held >= WARM_TOKENS or len(rows) == WARM_TEXTS:
+            break
+    found = encoded.filter(F.col("row").isin(rows)).select("row", F.substring("ids", 1, 2 * WARM_TOKENS).alias("ids")).collect() if rows else []
+    return [np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int32) for r in sorted(found, key=lambda r: r["row"])]
 
 
 def train(encoded: DataFrame) -> Gru:
-    """The warm start, then one averaged pass over all of the encoded texts."""
+    """The warm start, then one pass over all of the encoded texts in AVERAGINGS parts, the weights averaged after each."""
     spark = encoded.sparkSession
-    sample, size = [], 0
-    for r in encoded.select("ids").limit(4000).toLocalIterator():
-        sample.append(np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int32))
-        size += len(sample[-1])
-        if size >= WARM_TOKENS:
-            break
-    gru = Gru()
-    for p in range(WARM_PASSES):
-        gru.run(sample, 0.01 / (p + 1))
-    start = spark.sparkContext.broadcast(gru.w)
+    gru, sample = Gru(), _sample(encoded)
+    # A corpus smaller than the sample's bound is read more often, so that as many tokens are seen.
+    passes = min(8 * WARM_PASSES, max(WARM_PASSES, WARM_PASSES * WARM_TOKENS // max(1, sum(map(len, sample)))))
+    for p in range(passes):
+        gru.run(pieces(sample), 0.01 if 2 * p < passes else 0.005)
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
-    def local(batches):
-        own, n = Gru({k: v.copy() for k, v in start.value.items()}), 0
-        for pack in _packs(batches):
-            own.run([ids for _, ids in pack], 0.003)
-            n += sum(len(ids) for _, ids in pack)
-        if n:
-            slot = TaskContext.get().partitionId() % AVERAGES
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([(_flat(own.w) * n).tobytes()], pa.binary())], schema=schema)
+    def local(start):
+        def run(batches):
+            own, n = Gru(start.value), 0
+            for pack in _packs(batches):
+                own.run(pieces([ids for _, ids in pack]), 0.003)
+                n += sum(len(ids) for _, ids in pack)
+            if n:
+                slot = TaskContext.get().partitionId() % SLOTS
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([(own.flat.astype(np.float64) * n).tobytes()], pa.binary())], schema=schema)
+
+        return run
 
     def add(batches):
         # Sums of a task's rows, row by row; no group has to be in memory.
@@ -381,12 +439,15 @@ def train(encoded: DataFrame) -> Gru:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    sums = encoded.select("row", "ids").mapInArrow(local, "slot int, n long, weights binary").repartition(AVERAGES, "slot").mapInArrow(add, "slot int, n long, weights binary")
-    total, n = None, 0
-    for r in sums.collect():
-        v = np.frombuffer(bytes(r["weights"]), np.float64)
-        total, n = (v.copy() if total is None else total + v), n + r["n"]
-    return gru if total is None else Gru(_unflat(total / n))
+    turn = F.pmod(F.xxhash64("row"), F.lit(AVERAGINGS))
+    for k in range(AVERAGINGS):
+        part = encoded.filter(turn == k).select("row", "ids").mapInArrow(local(spark.sparkContext.broadcast(gru.flat)), "slot int, n long, weights binary")
+        total, n = None, 0
+        for r in part.repartition(SLOTS, "slot").mapInArrow(add, "slot int, n long, weights binary").collect():
+            v = np.frombuffer(bytes(r["weights"]), np.float64)
+            total, n = (v.copy() if total is None else total + v), n + r["n"]
+        gru = gru if total is None else Gru(total / n)
+    return gru
 
 
 def _tail_sums(counts: DataFrame, skip: DataFrame) -> dict[int, tuple[int, int]]:
@@ -419,12 +480,12 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     part = scratch.put(_encoded(docs, spark.sparkContext.broadcast(lexicon)), "encoded")
     gru = train(part.filter(fold_of != held))
 
-    shared = spark.sparkContext.broadcast((gru.w, lexicon.tail_log))
+    shared = spark.sparkContext.broadcast((gru.flat, lexicon.tail_log))
     schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("model", pa.float64())])
 
     def run(batches):
-        w, tail_log = shared.value
-        net = Gru(w)
+        flat, tail_log = shared.value
+        net = Gru(flat)
         for pack in _packs(batches):
             logs = net.run([ids for _, ids in pack]) / math.log(10)
             inside = [float(tail_log[ids[ids >= MODEL_WORDS] - MODEL_WORDS].sum()) for _, ids in pack]
