@@ -10,7 +10,10 @@ Defined cases
   empty text       stays empty
   repeated rows    each row is rewritten, all alike
   null doc_id      rewritten like any other
+  very long texts  searched as a whole; findings are short
   extra columns    ignored
+  dates            any day from the year 1 to 9999; it stays before 1900, within 1900 to 2099, or behind
+  letter case      e-mails that differ in case only get pseudonyms that differ in case only
   ties             where two kinds could match, the one listed first takes the text
   neighbours       where a run of digits or capitals is not valid as a whole, shorter ends and later
                    starts are tried; of a card, all groups but the last then have 3 digits or more
@@ -105,6 +108,22 @@ def iban_valid(iban: str) -> bool:
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+# Printable ASCII marks that may stand in a secret.
+_MARKS = "!#$%&()*+-./:<=>?@[]^_`{|}~"
+
+
+@functools.lru_cache(maxsize=4096)
+def _run_of(block: int) -> str:
+    """The printable characters of a run of 64 code points beyond ASCII: a letter's own class."""
+    return "".join(c for c in map(chr, range(64 * block, 64 * block + 64)) if c > "\x7f" and c.isprintable() and not "\ud800" <= c <= "\udfff")
+
+
+def _classes(text: str) -> tuple[str, ...]:
+    """The classes that cover a secret's characters: digits, letters, marks, and runs beyond ASCII."""
+    beyond = sorted({ord(c) // 64 for c in text if c > "\x7f"})
+    return (*_SETS, _MARKS, *map(_run_of, beyond))
+
+
 def _ends(kind: str, run: str, again: bool):
     """Where a finding of this kind may end in a run, likeliest first."""
     if kind == "iban":
@@ -163,12 +182,15 @@ class Pseudonyms:
         head = m[0] if m else ("AKIA" if text.startswith(("AKIA", "ASIA")) else "")
         body = text[len(head) :]
         hexed = re.fullmatch(r"[0-9a-f]+", body)
-        return head + self.characters(body, "secret", ("0123456789abcdef",) if hexed else _SETS)
+        return head + self.characters(body, "secret", ("0123456789abcdef",) if hexed else _classes(body))
 
     def _email(self, text: str) -> str:
+        """Addresses that differ in case only are one address: letters move as small ones and get their case back."""
         name, _, domain = text.rpartition("@")
         labels, dot, top = domain.rpartition(".")
-        return self.characters(name + "@" + labels, "email") + dot + top
+        whole = name + "@" + labels
+        moved = self.characters(whole.lower(), "email", _SETS[:2])
+        return "".join(m.upper() if c.isupper() else m for c, m in zip(whole, moved)) + dot + top
 
     def _iban(self, text: str) -> str | None:
         flat = text.replace(" ", "")
@@ -183,8 +205,10 @@ class Pseudonyms:
         octets = [int(o) for o in text.split(".")]
         if any(o > 255 for o in octets) or any(len(o) > 1 and o[0] == "0" for o in text.split(".")):
             return None
+        # Addresses of 1 to 223 stay among themselves, and so do all others (0 and 224 to 255).
         if not 1 <= octets[0] <= 223:
-            return ".".join(map(str, self._mixed([(o, 256) for o in octets], "ip0")))
+            a, *rest = self._mixed([((octets[0] - 223) % 256 % 33, 33)] + [(o, 256) for o in octets[1:]], "ip0")
+            return ".".join(map(str, [(a + 223) if a else 0, *rest]))
         a, *rest = self._mixed([(octets[0] - 1, 223)] + [(o, 256) for o in octets[1:]], "ip")
         return ".".join(map(str, [a + 1, *rest]))
 
@@ -194,11 +218,11 @@ class Pseudonyms:
             day = datetime.datetime.strptime(text, style).date()
         except ValueError:
             return None
-        first, span = datetime.date(1900, 1, 1).toordinal(), 73049  # to the end of 2099
-        if not 0 <= day.toordinal() - first < span:
-            return None
-        moved = datetime.date.fromordinal(first + self.permute(day.toordinal() - first, span, "date"))
-        return moved.strftime(style)
+        # Days of 1900 to 2099 stay among themselves, likewise those before and behind, from the year 1 to 9999.
+        edges = [1, datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal(), datetime.date.max.toordinal() + 1]
+        first, end = next((a, z) for a, z in zip(edges, edges[1:]) if a <= day.toordinal() < z)
+        moved = datetime.date.fromordinal(first + self.permute(day.toordinal() - first, end - first, "date"))
+        return f"{moved.year:04d}-{moved.month:02d}-{moved.day:02d}" if text[4] == "-" else f"{moved.day:02d}{text[2]}{moved.month:02d}{text[5]}{moved.year:04d}"
 
     def _ssn(self, text: str) -> str | None:
         area, group, serial = int(text[:3]), int(text[4:6]), int(text[7:])
