@@ -359,3 +359,76 @@ def test_the_text_machine_holds_split_characters_back():
     assert "".join(parts) + machine.close() == own.decode(ids, spaced=False) == "zażółć 漢字 🙂 "
     spaced = own.machine()
     assert "".join(spaced.push([i]) for i in ids) + spaced.close() == own.decode(ids)
+
+
+def test_topk_counts_repeated_rows_and_takes_very_large_components(spark):
+    """Against whole numbers of any size; extra columns clash, lengths differ, rows repeat and share ids."""
+    rng = np.random.default_rng(8)
+    vecs = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    vecs += [(7, vecs[7][1]), (7, vecs[7][1]), (7, [0.25, 0.5, 1.0]), (50, [1.0, 1.0, 1.0]), (300, [1e16, 1.0, 0.0]), (301, [-3e200, 5.0, 1.0]), (302, [1e307, 1e307, 1e307]), (350, [1e16, -1e16, 2.0]), (400, [])]
+    vecs += [(i, [float(i), -1.0]) for i in range(500, 700, 25)]
+    rows = [(i, v, "x", 1, 2.0) for i, v in vecs]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string, score int, dist double")
+    got = [tuple(r) for r in topk.nearest(table).collect()]
+    held = [(i, list(map(topk.whole, v))) for i, v in vecs if v]
+    want = []
+    for q in sorted({i for i, _ in held if i % 50 == 0}):
+        v = next(v for i, v in held if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in held if i != q and len(w) == len(v))[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    assert sorted(got) == want
+
+
+def test_topk_reads_whole_index_when_rows_are_equal(spark, monkeypatch):
+    """Small rings and blocks: most rows are one vector, ids break the ties."""
+    monkeypatch.setattr(topk, "RING_ROWS", 32)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    vecs = [[0.5] * 4 if i % 3 else [float(x) for x in rng.normal(size=4)] for i in range(600)]
+    got = sorted(tuple(r) for r in topk.nearest(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")).collect())
+    q = np.floor(256 * np.array(vecs)).astype(int)
+    want = []
+    for i in range(0, 600, 50):
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in range(600) if j != i)[:5])]
+    assert got == want
+
+
+def test_language_sets_grow_as_far_as_they_pay(spark):
+    """A text in four languages is given all four; a text in one language only that; as many languages as there are labels."""
+    rng = np.random.default_rng(4)
+    letters = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "yzabgm"]
+    words = [["".join(rng.choice(list(a), 5)) for _ in range(40)] for a in letters]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows = [(i, text(i % 5, 60), f"l{i % 5}") for i in range(60)] + [(100, " ".join(text(k, 200) for k in (0, 1, 2, 3)), None), (101, text(4, 300), None)]
+    rows += [(1000 + i, f"{'xyz'[i % 3]}{i} word", f"rare{i}") for i in range(600)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("doc_id in (100, 101)").collect()}
+    assert {s.lang for s in got[100].shares if s.share > 0.1} == {"l0", "l1", "l2", "l3"} and got[101].lang_pred == "l4" and got[101].score > 0.9
+
+
+def test_estimation_finds_the_proportions_that_a_fine_search_finds():
+    rng = np.random.default_rng(5)
+    probs = rng.dirichlet(np.ones(40), 2)
+    counts = rng.multinomial(4000, 0.3 * probs[0] + 0.7 * probs[1])[None].astype(float)
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[np.argmax([(counts[0] * np.log(a * probs[0] + (1 - a) * probs[1])).sum() for a in grid])]
+    assert abs(langid.estimate(counts, probs, np.full((1, 2), 0.5))[0, 0] - best) < 0.02
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("born 1899-05-01", "date"), ("due 2100-01-02", "date"), ("on 31.12.0099", "date"), ("password=секретный", "secret"), ("token: p!$$+w0rd", "secret"),
+    ("ssn 123-45-6789", "ssn"), ("mail ann@example.org", "email"), ("call (212) 555-0123", "phone"), ("at 240.1.2.3", "ip"),
+])
+def test_every_kind_is_replaced_alike_and_keeps_its_format(text, kind):
+    names = pseudonyms.Pseudonyms(b"k")
+    body = text.split(" ", 1)[1] if kind != "secret" else text
+    out, counts = names.rewrite(f"{text} and {body}")
+    new = out.split(" and ")[1]
+    assert counts == {kind: 2} and new != body and out.split(" and ")[0].endswith(new) and (kind == "ip" or len(new) == len(body))
+    assert names.rewrite(new)[1] == {kind: 1}  # still valid
+
+
+def test_addresses_stay_apart_and_mails_link_without_case():
+    names = pseudonyms.Pseudonyms(b"k")
+    public, other = {f"{a}.{b}.9.9" for a in (1, 10, 223) for b in range(200)}, {f"{a}.{b}.9.9" for a in (0, 224, 255) for b in range(200)}
+    moved = {names.rewrite(x)[0] for x in public | other}
+    assert len(moved) == 1200 and names.rewrite("Ann@X-y.org")[0].lower() == names.rewrite("ann@x-Y.org")[0].lower()
