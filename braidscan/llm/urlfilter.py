@@ -2,12 +2,22 @@
 
 Host names run words together. A unigram model over the pages' own visible words splits
 them by Viterbi search; multinomial naive Bayes then scores the words of host and path. It
-learns from all pages, weakly labelled by a short list of unwanted trade words.
+learns from the pages that a rule decides, but for a fold held out to measure it; no list
+of words teaches it, and what a rule decides stays decided.
+
+All counts stay in tables: the model of words and the model of tokens know every word and
+token there is. The parts of each different run of letters meet their counts in a join, and
+so do the tokens of each page; only totals reach the driver.
 
 Defined cases
   null url, no "://"   host and path empty; the method judges no words: the prior
+  null html            no words
   rules                the longest fitting rule wins; among equals a block
+  nothing learned      log odds 0: allowed
+  ties                 log odds 0: allowed; of equally likely splits the one whose last word is longest
+  very long names      split like others; a word of a host has at most MAX_WORD letters
   repeated rows        each row is judged and counts
+  null page_id         judged; never held out
   extra columns        ignored
 """
 
@@ -21,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidscan.llm.counts import frequent
 from braidscan.llm.ngram_join import _batches
+from braidscan.runtime import Scratch
 
 # The rules of the contract, (verdict, host and path).
 RULES = (
@@ -32,12 +42,10 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-# Words that mark a host as unwanted when it is segmented.
-UNWANTED = frozenset(
-    "casino poker bet bets betting jackpot slots adult porn xxx sex escort spam pills pharma viagra cialis loan loans payday ads adserver track tracker click popup malware phishing warez torrent".split()
-)
-#: Words and tokens the models keep (by count); letters of the longest word; words a worker counts before it lets go.
-VOCABULARY, MAX_WORD, HELD = 50_000, 20, 200_000
+# Fixed value: a label of a host name has at most 63 letters.
+MAX_WORD = 63
+#: Words a worker counts before it lets go; pages held out of learning: crc32(page_id) modulo FOLD is HELD_OUT.
+HELD, FOLD, HELD_OUT = 200_000, 5, 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,15 +71,15 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-_TAGS, _WORDS = re.compile(rb"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>"), re.compile(rb"[a-z]{1,%d}" % MAX_WORD)
+_TAGS, _WORDS = re.compile(rb"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>"), re.compile(rb"[a-z]+")
 
 
-def word_counts(pages: DataFrame) -> dict[str, int]:
-    """The VOCABULARY most frequent words of all pages' visible text."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n): every word of all pages' visible text."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def rows(c):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
 
     def partial(batches):
         c: Counter = Counter()
@@ -85,107 +93,79 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
         if c:
             yield rows(c)
 
-    counted = pages.select("page_id", "html").mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = frequent(counted, F.col("n"), VOCABULARY)
-    return {r["word"]: r["n"] for r in top}
-
-
-class Segmenter:
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        heavy = max(counts.values(), default=1)
-        self.logs = {w: math.log(n / total) for w, n in counts.items()}
-        for w in UNWANTED:
-            self.logs[w] = max(self.logs.get(w, -99.0), math.log(max(1, heavy // 100) / total))
-        self.unknown = math.log(1 / total) - 1
-        self.cache: dict[str, tuple[str, ...]] = {}
-
-    def split(self, name: str) -> tuple[str, ...]:
-        """The likeliest words of a run of letters; an unknown word costs more the longer it is."""
-        found = self.cache.get(name)
-        if found is None:
-            best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-            for z in range(1, len(name) + 1):
-                for a in range(max(0, z - MAX_WORD), z):
-                    s = best[a] + self.logs.get(name[a:z], self.unknown - 3.0 * (z - a))
-                    if s > best[z]:
-                        best[z], back[z] = s, a
-            cuts, z = [], len(name)
-            while z:
-                cuts.append(name[back[z] : z])
-                z = back[z]
-            found = tuple(reversed(cuts))
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            self.cache[name] = found
-        return found
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = []
-        for label in host.split("."):
-            for run in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9\-]+", label):
-                out += ["h:" + w for w in (self.split(run) if run.isascii() and run.isalpha() else (("#",) if run.isdigit() else (run,)))]
-        for run in re.findall(r"[a-z]+|[0-9]+", path.lower()):
-            out.append("p:" + ("#" if run.isdigit() else run[:MAX_WORD]))
-        return out
-
-
-def _token_counts(urls: DataFrame, segmenter: Segmenter) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
-    """Counts of each token in wanted and unwanted pages (the most frequent ones), and of pages."""
-    schema = pa.schema([("token", pa.string()), ("bad", pa.int32()), ("n", pa.int64())])
-
-    def partial(batches):
-        c: Counter = Counter()
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], schema=schema)
+    return pages.select("page_id", "html").mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words of a run of letters; an unknown word costs more the longer it is."""
+    logs, unknown = {w: math.log(n / total) for w, n in counts.items()}, math.log(1 / total) - 1
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    for z in range(1, len(name) + 1):
+        for a in range(max(0, z - MAX_WORD), z):
+            s = best[a] + logs.get(name[a:z], unknown - 3.0 * (z - a))
+            if s > best[z]:
+                best[z], back[z] = s, a
+    cuts, z = [], len(name)
+    while z:
+        cuts.append(name[back[z] : z])
+        z = back[z]
+    return cuts[::-1]
+
+
+def segmented(runs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(run, words) of each different run of letters: its parts meet their counts, then the best path through them is taken."""
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    parts = starts.select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - F.col("at") + 1))).alias("size"))
+    parts = parts.select("run", F.expr("substring(run, at, size)").alias("word")).distinct()
+    known = parts.join(words.filter(F.length("word") <= MAX_WORD), "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    schema = pa.schema([("run", pa.string()), ("words", pa.list_(pa.string()))])
 
+    def run(batches):
         for b in batches:
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not host:
-                    continue
-                tokens = segmenter.tokens(host, path)
-                bad = int(any(t[:2] == "h:" and t[2:] in UNWANTED for t in tokens))
-                c.update((t, bad) for t in tokens)
-                c["", bad] += 1
-                if len(c) > HELD:
-                    yield rows()
-                    c.clear()
-        if c:
-            yield rows()
+            names = b.column(0).to_pylist()
+            cuts = [split(name, {x["word"]: x["n"] for x in known or ()}, total) for name, known in zip(names, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cuts, pa.list_(pa.string()))], schema=schema)
 
-    counted = urls.select("host", "path").mapInArrow(partial, "token string, bad int, n long").groupBy("token").pivot("bad", [0, 1]).agg(F.sum("n")).na.fill(0)
-    counts = {r["token"]: (r["0"], r["1"]) for r in frequent(counted, F.col("0") + F.col("1"), VOCABULARY)}
-    return counts, counts.pop("", (0, 0))
+    return runs.join(known, "run", "left").select("run", "known").mapInArrow(run, "run string, words array<string>")
 
 
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing over two classes."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int]):
-        size = len(counts) + 1
-        sums = [sum(c[k] for c in counts.values()) + size for k in (0, 1)]
-        self.prior = math.log((pages[1] + 1) / (pages[0] + 1))
-        self.odds = {t: math.log((c[1] + 1) / sums[1]) - math.log((c[0] + 1) / sums[0]) for t, c in counts.items()}
-
-    def log_odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
+def tokens(urls: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(row, token): the words of each host and path, as often as they occur; numbers by first digit and length."""
+    number = lambda c: F.when(c.rlike("^[0-9]"), F.concat(F.substring(c, 1, 1), F.lit("#"), F.length(c))).otherwise(c)
+    hosts = urls.select("host").filter("host <> ''").distinct()
+    piece = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit("([a-z]+|[0-9]+|[^a-z0-9.-]+)"), 1)).alias("run"))
+    letters = F.col("run").rlike("^[a-z]+$")
+    names = segmented(piece.filter(letters).select("run").distinct(), words, total).withColumnRenamed("run", "name")
+    split_up = piece.filter(letters).join(names, F.col("run") == F.col("name")).select("host", F.explode("words").alias("w"))
+    of_host = split_up.unionByName(piece.filter(~letters).select("host", number(F.col("run")).alias("w")))
+    of_host = of_host.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.concat(F.lit("h:"), "w")).alias("held"))
+    in_host = urls.select("row", "host").join(of_host, F.col("host") == F.col("of")).select("row", F.explode("held").alias("token"))
+    in_path = urls.select("row", F.explode(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+|[0-9]+)"), 1)).alias("w"))
+    return in_host.unionByName(in_path.select("row", F.concat(F.lit("p:"), number(F.col("w"))).alias("token")))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, log_odds) of every page."""
+    """(page_id, host, path, rule, verdict, log_odds, learned, held_out) of every page; learned is the method's own verdict."""
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    segmenter = Segmenter(word_counts(pages))
-    bayes = Bayes(*_token_counts(urls, segmenter))
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("log_odds", pa.float64())])
-
-    def run(batches):
-        for b in batches:
-            odds = [bayes.log_odds(segmenter.tokens(h, p)) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2).cast(pa.string()), pa.array(odds, pa.float64())], schema=schema)
-
-    scored = urls.mapInArrow(run, "page_id long, host string, path string, log_odds double")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = urls.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("decided"))
+    held_out = F.coalesce(F.crc32(F.col("page_id").cast("string")) % FOLD == HELD_OUT, F.lit(False))
+    urls = scratch.put(urls.withColumn("held_out", held_out), "urls")
+    words = scratch.put(word_counts(pages), "words")
+    total = (words.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
+    said = scratch.put(tokens(urls, words, total), "tokens")
+
+    # Naive Bayes with add-one smoothing, from pages with a rule.
+    taught = urls.filter(F.col("decided").isNotNull() & ~F.col("held_out")).select("row", (F.col("decided") == "block").cast("long").alias("bad"))
+    sizes = taught.agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).first()
+    counted = scratch.put(said.join(taught, "row").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "counts")
+    sums = counted.agg(F.count("*").alias("v"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    of = lambda c: F.log((F.col(c) + 1.0) / ((sums[c] or 0) + sums["v"] + 1.0))
+    prior = math.log(((sizes["bad"] or 0) + 1) / (sizes["n"] - (sizes["bad"] or 0) + 1))
+    odds = said.join(counted.select("token", (of("bad") - of("good")).alias("odds")), "token").groupBy(F.col("row").alias("at")).agg(F.sum("odds").alias("odds"))
+    log_odds = F.coalesce("odds", F.lit(0.0)) + F.lit(prior)
+    scored = urls.join(odds, F.col("row") == F.col("at"), "left").withColumn("log_odds", log_odds)
     learned = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "log_odds")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", learned).alias("verdict"), "log_odds", learned.alias("learned"), "held_out")

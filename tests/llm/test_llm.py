@@ -97,11 +97,54 @@ def test_language_model(spark):
 
 def test_url_rules_and_segmentation(spark):
     urls = ["http://A.example.COM/en/7?x", "http://b.com/en/1", "http://x.example.net/de/89", "nohost", None, "http://casinobet.example.org/fr/1#t", "http://xcom/en/"] + ["http://thecat.example.org/fr/1"] * 5
+    urls += ["http://casinobet.a.com/en/1"] * 6 + ["http://thecat.example.com/en/7"] * 6
     pages = spark.createDataFrame([(i, u, "<p>the cat win casino bet the cat</p>" if i else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
+    rows = urlfilter.judge(pages).collect()
+    got = {r.page_id: r for r in rows}
     assert [got[i].rule for i in range(7)] == ["example.com/en/7", "com/en/", "example.net/de/8", None, None, None, None]
     assert [got[i].verdict for i in (0, 1, 2)] == ["allow", "block", "block"] and (got[4].host, got[4].path) == ("", "")
+    # What the rules decided about hosts with the same words decides about the others.
     assert got[5].verdict == "block" and got[7].verdict == "allow" and got[0].path == "/en/7" and got[0].host == "a.example.com"
+    assert len(rows) == len(urls)
+
+
+def test_naive_bayes_over_segmented_urls_equals_brute_force(spark):
+    import itertools
+
+    words = {"red": 30, "redo": 4, "do": 9, "or": 8, "door": 12, "x": 2}
+    total = sum(words.values()) + 1
+    for name in ("redoor", "redodoor", "xx", "zredz"):
+        ways = []
+        for cuts in itertools.product((0, 1), repeat=len(name) - 1):
+            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
+            parts = [name[a:z] for a, z in zip(at, at[1:])]
+            ways.append((sum(math.log(words[w] / total) if w in words else math.log(1 / total) - 1 - 3.0 * len(w) for w in parts), parts))
+        assert math.isclose(max(w[0] for w in ways), next(w[0] for w in ways if w[1] == urlfilter.split(name, words, total)))
+    hosts = ["redoor.com/en/1", "redoor.com/en/22", "door.example.com/en/7", "red.example.com/en/75", "redoor.org/fr/1", "x.net/de/4"]
+    html = " ".join(w for w, n in words.items() for _ in range(n))
+    pages = [(i, f"http://{h}", html if i == 0 else "") for i, h in enumerate(hosts * 6)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    counts = total + 0
+
+    def said(url):
+        host, _, path = url.partition("/")
+        out = [f"h:{w}" for label in host.split(".") for w in urlfilter.split(label, words, counts)]
+        return out + [f"p:{t[0]}#{len(t)}" if t.isdigit() else f"p:{t}" for t in path.split("/")]
+
+    bad, good, n = collections.Counter(), collections.Counter(), [0, 0]
+    for i, (_, u, _) in enumerate(pages):
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 2)
+        if r.rule and not r.held_out:
+            n[r.verdict == "block"] += 1
+            (bad if r.verdict == "block" else good).update(said(u[7:]))
+    v = len(bad | good)
+    for i, (_, u, _) in enumerate(pages):
+        want = math.log((n[1] + 1) / (n[0] + 1))
+        for t in said(u[7:]):
+            if t in bad or t in good:
+                want += math.log((bad[t] + 1) / (sum(bad.values()) + v + 1)) - math.log((good[t] + 1) / (sum(good.values()) + v + 1))
+        assert math.isclose(got[i].log_odds, want, rel_tol=1e-9)
 
 
 def test_decontamination_finds_edits(spark):
