@@ -6,12 +6,14 @@ first occurrence of every line, counts its documents and marks all other occurre
 What comes back per document is not text but a compressed keep bitmap: the runs of
 dropped positions (start, length), from which the kept text is cut.
 
-Lines that a large share of all documents hold would fill one range. They are found
-with a frequent-items sketch (bounded size, only routing depends on it), counted by a
-combining aggregate, and decided in place by a lookup table of at most ``HOT_ITEMS`` rows.
+Lines that very many documents hold would fill one range. They are found with a
+frequent-items sketch (bounded size, only routing depends on it), counted by a combining
+aggregate, and decided in place by a lookup table of at most ``HOT_ITEMS`` rows. What is left
+of a line in the ranges is one row in ``HOT_SHARE`` at most.
 
 Defined cases
   null or empty text      one empty line, kept
+  very long texts         split into a row for each line; a text's lines meet again as runs, not as text
   null doc_id             the row is returned whole; its lines neither count nor drop
   repeated rows           rows with one doc_id are one document for the counts; each row is returned
   ties                    none: the largest doc_id keeps the line
@@ -31,8 +33,8 @@ from braidscan.runtime import Scratch
 BLANKS = " \t\n\x0b\x0c\r"
 #: Code points a key needs, documents that must hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
-#: The sketch keeps this many counters; a line in more than 1/1000 of the line rows is certainly reported.
-HOT_ITEMS, HOT_TRACKED = 512, 8192
+#: Lines reported by the sketch and its counters; a line with more than one in HOT_SHARE of the line rows is certainly among them.
+HOT_ITEMS, HOT_TRACKED, HOT_SHARE = 16384, 65536, 16384
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,11 +60,11 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _hot_hashes(occ: DataFrame) -> DataFrame:
-    """(h1): hashes that may hold more than 1/1000 of the rows; at most HOT_ITEMS rows by construction."""
+    """(h1): hashes that may hold more than one in HOT_SHARE of the rows, and at least MIN_DOCS; at most HOT_ITEMS rows by construction."""
     top = occ.agg(F.expr(f"approx_top_k(h1, {HOT_ITEMS}, {HOT_TRACKED})").alias("top"), F.count("*").alias("n"))
     return (
         top.select(F.explode("top").alias("t"), "n")
-        .filter(F.col("t.count") * 1000 > F.col("n"))
+        .filter((F.col("t.count") * HOT_SHARE > F.col("n")) & (F.col("t.count") >= MIN_DOCS))
         .select(F.col("t.item").alias("h1"))
     )
 
