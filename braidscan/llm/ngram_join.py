@@ -24,6 +24,7 @@ candidate.
 Defined cases
   null or empty text, no word   n_shingles 0, its own component, linked with nothing
   fewer words than the shingle  one shingle: the whole sequence
+  very long texts               hashed in steps of bounded size; the set of one text is held whole
   repeated rows                 rows with one doc_id count as one document for links; each row is returned
   null doc_id                   left out
   ties                          components are named by their smallest doc_id
@@ -47,8 +48,8 @@ from braidscan.runtime import Scratch
 WORDS, PERCENT = 4, 85
 #: Documents and head entries of a chunk; pivots probed for each short list.
 CHUNK_DOCS, CHUNK_ENTRIES, PIVOTS = 4096, 600_000, 3
-#: Documents of a block in the last search; head entries of a hash range.
-BLOCK_DOCS, RANGE_ENTRIES = 256, 16_000_000
+#: Documents of a block in the last search; head entries of a hash range; bits of the grid its edges lie on.
+BLOCK_DOCS, RANGE_ENTRIES, GRID_BITS = 256, 16_000_000, 8
 
 
 def missing(n, percent: int):
@@ -122,19 +123,55 @@ def _chunks(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataF
     return docs.mapInArrow(run, _CHUNKS)
 
 
-def _ranges(chunks: DataFrame) -> int:
-    """Into how many hash ranges the heads go: what a range holds stays bounded however large the corpus is."""
-    entries = chunks.agg(F.sum(F.octet_length("heads")).alias("n")).first()["n"] or 0
-    return max(2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // (8 * RANGE_ENTRIES)))
+def _edges(chunks: DataFrame) -> np.ndarray:
+    """Where the heads are cut into hash ranges of like weight; their number follows the corpus, so that what a range holds stays bounded.
+
+    Heads are their texts' smallest hashes and crowd at the low end. Each chunk's own quantiles,
+    weighed by its entries, are summed into cells of a fixed grid, finer towards zero.
+    """
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        sums: dict[int, int] = {}
+        for b in batches:
+            for heads in b.column(0):
+                h = np.frombuffer(heads.as_py(), np.uint64)
+                cell, n = np.unique(_cell(h), return_counts=True)
+                for c, k in zip(cell.tolist(), n.tolist()):
+                    sums[c] = sums.get(c, 0) + k
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], schema=schema)
+
+    rows = chunks.select("heads").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()  # at most CELLS rows
+    total = sum(r["n"] for r in rows)
+    parts = max(2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ENTRIES))
+    edges, seen = [], 0
+    for r in rows:
+        seen += r["n"]
+        if seen * parts >= (len(edges) + 1) * total:
+            edges.append(_cell_end(r["cell"]))
+    return np.array([e for e in edges if e < 1 << 64], np.uint64)
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    """A cell of the grid for each hash: its leading zeros and the GRID_BITS bits behind the first one."""
+    top = np.frexp(np.maximum(h >> np.uint64(11), np.uint64(1)).astype(np.float64))[1]  # bits of the upper 53, exactly
+    rest = (h >> np.uint64(11)) << (np.uint64(53) - top.astype(np.uint64))  # the leading one at bit 52
+    return (top * (1 << GRID_BITS) + ((rest >> np.uint64(52 - GRID_BITS)) & np.uint64((1 << GRID_BITS) - 1)).astype(np.int64)).astype(np.int64)
+
+
+def _cell_end(cell: int) -> int:
+    """The first hash behind a cell (exact from 2^20 on; below, edges merely lie lower)."""
+    top, rest = cell >> GRID_BITS, (cell & ((1 << GRID_BITS) - 1)) + 1
+    return -(-(((1 << GRID_BITS) + rest) << (top + 10)) // (1 << GRID_BITS))
 
 
 def _shared_heads(chunks: DataFrame) -> DataFrame:
     """(chunk, hashes, counts): the head shingles that several documents hold, told to each chunk holding them."""
-    parts = _ranges(chunks)
+    edges = _edges(chunks)
     out_schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def deal(batches):
-        edges = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
         for b in batches:
             for chunk, heads in zip(b.column(0).to_pylist(), b.column(1)):
                 h, c = np.unique(np.frombuffer(heads.as_py(), np.uint64), return_counts=True)
@@ -243,7 +280,7 @@ def _search_blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent:
     blocks that meet in a list are searched against each other. One row per document and
     pair of blocks moves, however many lists the two blocks share.
     """
-    first = open_.groupBy("h", "band").agg(F.min("doc_id").alias("least"))
+    first = scratch.put(open_.groupBy("h", "band").agg(F.min("doc_id").alias("least")), "first")
     ties = open_.join(first, ["h", "band"]).select("doc_id", "least").distinct()
     knots = connected_components(ties, "doc_id", "least").select(F.col("node").alias("doc_id"), F.col("component").alias("knot"))
     sizes = knots.groupBy("knot").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
@@ -329,7 +366,8 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     scratch.drop("chunks")
 
     filled = members.filter("n > 0")
-    classes = filled.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
+    # Aggregates are written before they meet their rows again: a join of two tables can split a group of very many copies.
+    classes = scratch.put(filled.groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
     copies = filled.join(classes, ["fp", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = alive.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()
 
@@ -342,7 +380,7 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     lists = banded.select("doc_id", "n", F.explode("rare").alias("h"), "band").select("doc_id", "n", "h", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     order = [F.xxhash64(F.lit(p), F.col("doc_id")) for p in range(PIVOTS)]
     pivots = lists.groupBy("h", "band").agg(F.count("*").alias("members"), F.array(*[F.min_by(F.struct("doc_id", "n"), o) for o in order]).alias("pivots"))
-    lists = scratch.put(lists.join(pivots.filter("members > 1"), ["h", "band"]), "lists")
+    lists = scratch.put(lists.join(scratch.put(pivots.filter("members > 1"), "pivots"), ["h", "band"]), "lists")
 
     near = lambda p, q: (F.col(p) * 100 >= F.col(q) * percent) & (F.col(q) * 100 >= F.col(p) * percent)
     tried = (
@@ -362,7 +400,7 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, percent: int = PERC
     group = connected_components(links, "a", "b") if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
     held = lists.select("doc_id", "h", "band").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id"))
     mixed = held.groupBy("h", "band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h", "band")
-    open_ = scratch.put(held.join(mixed, ["h", "band"]).select("doc_id", "h", "band", "g"), "open")
+    open_ = scratch.put(held.join(scratch.put(mixed, "mixed"), ["h", "band"]).select("doc_id", "h", "band", "g"), "open")
     more = scratch.put(_search_blocks(scratch, open_, sets, percent), "more")
     edges = links.unionByName(more).unionByName(copies)
     found = connected_components(scratch.put(edges, "edges"), "a", "b")
