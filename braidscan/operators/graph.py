@@ -8,42 +8,74 @@ from pyspark.sql import functions as F
 from braidscan.runtime import Scratch
 
 
-def contract(edges: DataFrame, small: DataFrame, max_depth: int = 16) -> DataFrame:
+def _check_rounds(done: int, most: int | None, what: str) -> None:
+    if most is not None and done > most:
+        raise RuntimeError(f"{what} did not end within {most} rounds")
+
+
+def contract(edges: DataFrame, small: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (src, dst, dist) with nodes of `small` (name) bridged: distances add up along filtered nodes.
 
-    Direct edges stay a multiset, bridged ones are distinct. Paths through filtered cycles end at max_depth.
+    Direct edges stay a multiset, bridged ones are distinct. A path takes each filtered node once, so paths
+    through filtered cycles end by themselves; with max_depth, paths over more filtered nodes are left out.
     """
     keep_dst = edges.join(small.select(F.col("name").alias("dst")), "dst", "left_anti").select("src", "dst", "dist")
     keep_src = lambda e: e.join(small.select(F.col("name").alias("src")), "src", "left_anti").select("src", "dst", "dist")
     into = keep_src(edges.join(small.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst", "dist")).distinct()
-    inner = edges.join(small.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("src").alias("mid"), F.col("dst").alias("nxt"), F.col("dist").alias("d2")).distinct()
     scratch = Scratch(edges.sparkSession, "contract")
-    out, front = keep_src(keep_dst), scratch.put(into, "front0")
-    bridged = None
-    for k in range(1, max_depth + 1):
-        step = front.join(inner, front["dst"] == inner["mid"]).select("src", F.col("nxt").alias("dst"), (F.col("dist") + F.col("d2")).alias("dist")).distinct()
+    inner = edges.join(small.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("src").alias("mid"), F.col("dst").alias("nxt"), F.col("dist").alias("d2")).distinct()
+    inner = scratch.put(inner, "inner")
+    cyclic = _cyclic(inner, small, scratch)
+    out, front = keep_src(keep_dst), scratch.put(into.withColumn("path", F.array().cast("array<string>")), "front0")
+    bridged, k = None, 0
+    while max_depth is None or k < max_depth:
+        k += 1
+        # Only nodes on filtered cycles are remembered; elsewhere a path cannot come back.
+        on_cycle = cyclic.select(F.col("name").alias("mid"), F.lit(True).alias("loops"))
+        step = front.join(inner, front["dst"] == inner["mid"]).filter(~F.array_contains("path", F.col("mid")))
+        step = step.join(on_cycle, "mid", "left").withColumn("path", F.when(F.col("loops"), F.array_sort(F.array_append("path", F.col("mid")))).otherwise(F.col("path")))
+        step = step.select("src", F.col("nxt").alias("dst"), (F.col("dist") + F.col("d2")).alias("dist"), "path").distinct()
         step = scratch.put(step, f"step{k}")
         if step.isEmpty():
             break
         done = step.join(small.select(F.col("name").alias("dst")), "dst", "left_anti").select("src", "dst", "dist")
         bridged = done if bridged is None else bridged.unionByName(done)
-        front = step.join(small.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst", "dist")
+        front = step.join(small.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst", "dist", "path")
     return out if bridged is None else out.unionByName(bridged.distinct())
 
 
-def reachable(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(src, dst, depth): every node reachable in one step or more, at its least depth."""
+def _cyclic(inner: DataFrame, small: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name): a superset of the filtered nodes on cycles of filtered nodes: what is left when sinks and sources are peeled off."""
+    e = inner.join(small.select(F.col("name").alias("nxt")), "nxt", "left_semi").select(F.col("mid").alias("a"), F.col("nxt").alias("b")).distinct()
+    left, k, n = scratch.put(e, "peel0"), 0, -1
+    while True:
+        now = left.count()
+        if now == n or now == 0:
+            return left.select(F.col("a").alias("name")).unionByName(left.select(F.col("b").alias("name"))).distinct()
+        n, k = now, k + 1
+        starts, ends = left.select(F.col("a").alias("b")).distinct(), left.select(F.col("b").alias("a")).distinct()
+        left = scratch.put(left.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"), f"peel{k}")
+
+
+def reachable(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(src, dst, depth): every node reachable in one step or more, at its least depth; goes on until nothing new is met.
+
+    With max_rounds, an error if that is not enough.
+    """
     scratch = Scratch(edges.sparkSession, "reach")
     e = scratch.put(edges.select("src", "dst").distinct(), "edges")
     known = scratch.put(e.select("src", "dst", F.lit(1).alias("depth")), "known1")
-    front = known
-    for k in range(2, max_rounds + 2):
+    front, parts, k = known, 1, 1
+    while True:
+        k += 1
         nxt = front.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         fresh = scratch.put(nxt.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(k)), f"fresh{k}")
         if fresh.isEmpty():
-            break
-        known, front = known.unionByName(fresh), fresh
-    return known
+            return known
+        _check_rounds(k, max_rounds, "reachability")
+        known, front, parts = known.unionByName(fresh), fresh, parts + 1
+        if parts == 8:  # lest the plan grow with the depth
+            known, parts = scratch.put(known, f"known{k}"), 1
 
 
 def adjacent(functions: DataFrame) -> DataFrame:

@@ -99,10 +99,12 @@ def a23(s, d):
     return c.withColumn("area", area).select("cutoff", F.round("tp", 6).alias("tp"), F.round("fp", 6).alias("fp"), F.round(F.sum("area").over(w), 6).alias("auc"))
 
 
-@query("a27_row_occurrences", f"WITH {FN} SELECT round(v[1], 1) AS x, round(v[2], 1) AS y, count(*) AS n FROM fn GROUP BY 1, 2 HAVING count(*) > 1")
+@query("a27_row_occurrences", f"WITH {FN}, m AS (SELECT pos, v FROM fn UNION ALL SELECT pos, v FROM fn WHERE pos % 3 = 0 UNION ALL SELECT pos, v FROM fn WHERE pos % 6 = 0), c AS (SELECT v, count(*) AS n FROM m GROUP BY v) SELECT n AS times, count(*) AS vectors FROM c GROUP BY n")
 def a27(s, d):
-    f = fn(s, d).select(F.round(F.col("v")[0], 1).alias("x"), F.round(F.col("v")[1], 1).alias("y"))
-    return f.select((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1")
+    """How many different vectors occur how often over three versions of a library, each keeping some of the rows."""
+    f = fn(s, d).select("pos", "v")
+    m = f.unionByName(f.filter("pos % 3 = 0")).unionByName(f.filter("pos % 6 = 0"))
+    return m.groupBy("v").agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias("vectors"))
 
 
 @query("a28_strings_per_function", "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) GROUP BY doc_id")
@@ -120,9 +122,9 @@ def a30(s, d):
     return top(s, d).filter("rk = 1").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("truth") == F.col("guess")) / F.count("*"), 6).alias("accuracy"))
 
 
-@query("w06_top3_labels", f"WITH {FN} SELECT pos, CAST(i AS INT) AS i, round(v[CAST(i AS INT)], 6) AS x FROM fn, (SELECT unnest(range(1, 11)) AS i) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY v[CAST(i AS INT)] DESC, i) <= 3")
+@query("w06_top3_labels", f"WITH {FN} SELECT pos, CAST(i AS INT) AS i, round(v[CAST(i AS INT)], 6) AS x FROM fn, (SELECT unnest(range(1, 65)) AS i) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY v[CAST(i AS INT)] DESC, i) <= 3")
 def w06(s, d):
-    x = fn(s, d).select("pos", F.posexplode(F.slice("v", 1, 10)).alias("i", "x"))
+    x = fn(s, d).select("pos", F.posexplode("v").alias("i", "x"))
     w = Window.partitionBy("pos").orderBy(F.col("x").desc(), "i")
     return x.withColumn("rk", F.row_number().over(w)).filter("rk <= 3").select("pos", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
@@ -138,11 +140,11 @@ def w08(s, d):
     return top(s, d).withColumn("first_hit", hit).filter("rk < first_hit").select("q", "n")
 
 
-@query("w12_stride_sample", f"WITH {FN}, n AS (SELECT count(*) AS n, CAST(floor(0.03 * count(*)) AS BIGINT) AS q FROM fn), k AS (SELECT CAST(floor(i * n / q) AS BIGINT) AS ix FROM n, (SELECT unnest(range(1000)) AS i) WHERE i < q) SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS ix FROM fn) f JOIN k USING (ix)")
+@query("w12_stride_sample", f"WITH {FN}, n AS (SELECT count(*) AS n, CAST(floor(0.03 * count(*)) AS BIGINT) AS q FROM fn), k AS (SELECT CAST(floor(i * n / q) AS BIGINT) AS ix FROM n, (SELECT unnest(range((SELECT q FROM n))) AS i) WHERE i < q) SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS ix FROM fn) f JOIN k USING (ix)")
 def w12(s, d):
     f = fn(s, d).select("pos")
     n = f.agg(F.count("*").alias("n"), F.floor(0.03 * F.count("*")).alias("q"))
-    k = n.select("n", "q", F.explode(F.expr("sequence(0, q - 1)")).alias("i")).select(F.floor(F.col("i") * F.col("n") / F.col("q")).alias("at"))
+    k = n.select("n", "q", F.explode(F.expr("if(q > 0, sequence(0L, q - 1), array())")).alias("i")).select(F.floor(F.col("i") * F.col("n") / F.col("q")).alias("at"))
     return _numbered(f, "pos").join(k, "at").select("pos")
 
 

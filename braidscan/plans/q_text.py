@@ -104,9 +104,13 @@ def f22(s, d):
     return table(s, d, "documents").filter(F.char_length("text") > 10).select("doc_id", F.least(F.lit(20000), F.char_length("text")).cast("long").alias("n"))
 
 
-@query("a20_mean_pooling", f"WITH {FN} SELECT label, round(avg(v[1]), 6) AS m1, round(avg(v[2]), 6) AS m2, round(avg(v[64]), 6) AS m64 FROM fn GROUP BY label")
+@query("a20_mean_pooling", f"WITH {FN} SELECT label, CAST(i AS INT) AS i, round(avg(v[CAST(i AS INT)]), 6) AS mean FROM fn, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2 UNION ALL SELECT -1, CAST(unnest(range(1, 65)) AS INT), 0")
 def a20(s, d):
-    return fn(s, d).groupBy("label").agg(*[F.round(F.avg(F.col("v")[i - 1]), 6).alias(f"m{i}") for i in (1, 2, 64)])
+    """The mean vector of each label, and of label -1, which has no vectors: zeros."""
+    x = fn(s, d).select("label", F.posexplode("v").alias("i", "x"))
+    means = x.groupBy("label", (F.col("i") + 1).alias("i")).agg(F.round(F.avg("x"), 6).alias("mean"))
+    empty = s.range(1, 65).select(F.lit(-1).cast("int").alias("label"), F.col("id").cast("int").alias("i"), F.lit(0.0).alias("mean"))
+    return means.unionByName(empty)
 
 
 def _count(names):

@@ -283,12 +283,26 @@ def a25(s, d):
     return candidates(s, d).join(r, "q").groupBy("q").agg(F.round(F.avg(far), 5).alias("ratio"))
 
 
-@query("a26_covariance", f"WITH {FN} SELECT i, j, round(covar_samp(v[i], v[j]), 6) AS cov FROM fn, (SELECT CAST(unnest(range(1, 9)) AS INT) AS i), (SELECT CAST(unnest(range(1, 9)) AS INT) AS j) WHERE i <= j GROUP BY i, j")
+@query("a26_covariance", f"WITH {FN} SELECT i, j, round(covar_samp(v[i], v[j]), 6) AS cov FROM fn, (SELECT CAST(unnest(range(1, 65)) AS INT) AS i), (SELECT CAST(unnest(range(1, 65)) AS INT) AS j) WHERE i <= j GROUP BY i, j")
 def a26(s, d):
-    f = fn(s, d)
-    cells = [(i, j) for i in range(1, 9) for j in range(i, 9)]
-    row = f.agg(*[F.covar_samp(F.col("v")[i - 1], F.col("v")[j - 1]).alias(f"c{i}_{j}") for i, j in cells])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(f"c{i}_{j}", 6).alias("cov")) for i, j in cells])).alias("x")).select("x.*")
+    """The covariance of whole vectors: moments of each partition in one matrix product, summed cell by cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("xy", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("n", pa.int64())])
+
+    def moments(batches):
+        n, total, cross = 0, 0.0, 0.0
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                n, total, cross = n + len(v), total + v.sum(0), cross + v.T @ v
+        if n:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i + 1, pa.int32()), pa.array(j + 1, pa.int32()), pa.array(cross[i, j]), pa.array(total[i]), pa.array(total[j]), pa.array([n] * len(i))], schema=schema)
+
+    cells = fn(s, d).select("v").mapInArrow(moments, "i int, j int, xy double, x double, y double, n long").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+    return cells.select("i", "j", F.round((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1), 6).alias("cov"))
 
 
 @query("a22_similarity_histogram", f"""WITH {FN}, c AS (SELECT list_dot_product(a.v, b.v) AS c FROM fn a JOIN fn b ON a.pos % 20 = 0 AND b.pos <> a.pos), h AS (SELECT CAST(least(99, greatest(0, floor((round(c, 6) + 1) * 50))) AS INT) AS bin, count(*) AS n FROM c GROUP BY 1)

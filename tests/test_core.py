@@ -152,3 +152,20 @@ def test_blocked_distances_equal_brute_force_with_ties_and_own_rows(spark, measu
     for i, v in rows[::20]:
         best = sorted((round(dist(v, w), 6), j) for j, w in rows if j != i)[:4]
         assert [got[i, k + 1] for k in range(4)] == [(j, x) for x, j in best]
+
+
+def test_reachability_and_contraction_have_no_silent_bound(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(48)], "src string, dst string, dist long")
+    got = graph.reachable(chain).filter("src = 'n0'")
+    assert got.count() == 48 and got.agg(F.max("depth")).first()[0] == 48
+    with pytest.raises(RuntimeError):
+        graph.reachable(chain, max_rounds=20)
+    small = spark.createDataFrame([(f"n{i}",) for i in range(1, 40)], "name string")
+    bridged = {tuple(r) for r in graph.contract(chain, small).collect()}
+    assert ("n0", "n40", 40) in bridged and len(bridged) == 9
+
+
+def test_stride_sample_of_an_almost_empty_table(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [1.0] * 64, 0) for i in range(20)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert entry_points.queries()["w12_stride_sample"](spark, str(tmp_path)).count() == 0
