@@ -1,4 +1,14 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
+
+Defined cases
+  null or empty text       judged, kept and encoded like any other; linked with nothing, contaminated by nothing
+  null doc_id              its row passes the stages that go by documents and is encoded at the end
+  very long texts          read whole by every stage
+  ties                     of linked documents the smallest doc_id stays; of repeated lines the largest doc_id's
+  repeated rows            rows of one doc_id stay or go together
+  extra columns            carried through all stages but the last
+  empty tables             no documents: no rows; no labels: every score is 0.5, nothing is rejected; no items: nothing is contaminated
+"""
 
 from __future__ import annotations
 
@@ -50,7 +60,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_stage),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold run() against a brute-force version.
+#: The classifier and the tokenizer have no SQL form; tests hold the operators against brute force and run() against its stages.
 ORACLE_SQL = None
 
 
