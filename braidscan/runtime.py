@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -45,12 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temp folder of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temp folder in local mode and an error elsewhere."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", "") or ""
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else ""
+    if not root and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="braidscan-")
         sc.setCheckpointDir(root)
