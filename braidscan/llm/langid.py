@@ -33,7 +33,7 @@ BUCKETS, SMOOTH, STILL = 2048, 0.5, 1e-3
 #: because a letter lies in three trigrams and names and borrowed words come in runs, so counts stray far more than draws would.
 PENALTY = 4
 #: Texts scored at once.
-BLOCK = 256
+BLOCK = 64
 
 _LETTER = np.zeros(256, np.uint32)
 _LETTER[65:91] = np.arange(1, 27)
@@ -95,23 +95,35 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, known / known.sum(1, keepdims=True)
 
 
-def estimate(counts: np.ndarray, probs: np.ndarray, mix: np.ndarray) -> np.ndarray:
-    """Proportions of each document from the start `mix` on; a language at zero stays there. Documents leave as they settle."""
-    mix, total = mix.copy(), np.maximum(counts.sum(1), 1)[:, None]
-    todo = np.arange(len(counts))
+def estimate(counts: np.ndarray, probs: np.ndarray, mix: np.ndarray, enough: np.ndarray | None = None) -> np.ndarray:
+    """Proportions of each document from the start `mix` on; a language at zero stays there. Documents leave as they settle.
+
+    With `enough`, a document also leaves when no proportions at all can reach that log likelihood: by Jensen's
+    inequality it exceeds the present one by n log(g / n) at most, g the largest of the languages' summed ratios.
+    """
+    mix, total = mix.copy(), np.maximum(counts.sum(1), 1)
+    todo, own, step = np.arange(len(counts)), counts, 0
     while len(todo):
-        old, own = mix[todo], counts[todo]
-        ratio = own / np.maximum(old @ probs, 1e-300)
-        new = old * (ratio @ probs.T) / total[todo]
+        old = mix[todo]
+        dense = old @ probs
+        np.maximum(dense, 1e-300, out=dense)
+        g = (own / dense) @ probs.T
+        new = old * g / total[todo, None]
         mix[todo] = new
-        todo = todo[np.abs(new - old).max(1) > STILL]
+        moving = np.abs(new - old).max(1) > STILL
+        if enough is not None and step % 4 == 0:
+            n = total[todo]
+            moving &= (own * np.log(dense)).sum(1) + n * np.log(np.maximum(g.max(1), 1e-300) / n) > enough[todo]
+        step += 1
+        if not moving.all():
+            todo, own = todo[moving], own[moving]
     return mix
 
 
 def proportions(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """(documents, languages): the selected set's proportions, zero outside of it."""
     n_docs, n_langs = len(counts), len(probs)
-    size_of = np.log(np.maximum(counts.sum(1), 1))
+    cost = PENALTY / 2 * np.log(np.maximum(counts.sum(1), 1))
     alone = counts @ np.log(probs).T
     first = np.argmax(alone, axis=1)
     best = np.zeros((n_docs, n_langs))
@@ -119,18 +131,22 @@ def proportions(counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     if n_langs == 1:
         return best
     penalised = alone[np.arange(n_docs), first].copy()
-    whole = estimate(counts, probs, np.full((n_docs, n_langs), 1 / n_langs))
+    start = np.full((n_docs, n_langs), 0.2 / (n_langs - 1))
+    start[np.arange(n_docs), first] = 0.8
+    whole = estimate(counts, probs, start, penalised + cost)
     order = np.argsort(-whole, axis=1, kind="stable")
-    rising = np.arange(n_docs)
+    # Only where all languages together gain more than the cost of one can a set of several win.
+    gained = (counts * np.log(np.maximum(whole @ probs, 1e-300))).sum(1) > penalised + cost
+    rising = np.flatnonzero(gained)
     for size in range(2, n_langs + 1):
+        if not len(rising):
+            break
         mix = np.zeros((len(rising), n_langs))
         mix[np.arange(len(rising))[:, None], order[rising, :size]] = 1 / size
         mix = estimate(counts[rising], probs, mix)
-        fit = (counts[rising] * np.log(np.maximum(mix @ probs, 1e-300))).sum(1) - PENALTY / 2 * (size - 1) * size_of[rising]
+        fit = (counts[rising] * np.log(np.maximum(mix @ probs, 1e-300))).sum(1) - (size - 1) * cost[rising]
         better = fit > penalised[rising]
         rising, mix, fit = rising[better], mix[better], fit[better]
-        if not len(rising):
-            break
         best[rising], penalised[rising] = mix, fit
     return best
 
