@@ -38,7 +38,8 @@ def string_evidence(pairs: DataFrame, strict: bool = False) -> DataFrame:
 def propagate(opt: DataFrame, factors: DataFrame, rounds: int, damping: float = 0.0) -> DataFrame:
     """Synchronous belief propagation: opt (v, o, pr), factors (fid, a, b, i, j, pot) -> (v, o, m) marginals.
 
-    Messages are tables; products are sums of logarithms. Every fifth round is cut by a table in the shared folder.
+    Messages are tables; products are sums of logarithms. Every round reads the last one's
+    messages several times, so it is cut by a table in the shared folder.
     """
     scratch = Scratch(opt.sparkSession, "belief")
     opt, factors = scratch.put(opt, "options"), scratch.put(factors, "factors")
@@ -52,7 +53,8 @@ def propagate(opt: DataFrame, factors: DataFrame, rounds: int, damping: float =
         new = to_a.unionByName(to_b).withColumn("m", F.col("m") / F.sum("m").over(Window.partitionBy("fid", "v")))
         if damping:
             new = new.join(fr.withColumnRenamed("m", "old"), ["fid", "v", "o"]).select("fid", "v", "o", (F.col("m") * (1 - damping) + F.col("old") * damping).alias("m"))
-        fr = scratch.put(new, f"round{t}") if t % 5 == 0 else new
+        fr = scratch.put(new, f"round{t}")
+        scratch.drop(f"round{t - 1}")
     held = fr.groupBy("v", "o").agg(F.sum(F.ln(F.greatest("m", floor))).alias("lm"))
     x = opt.join(held, ["v", "o"], "left").withColumn("x", F.col("pr") * F.exp(F.coalesce("lm", F.lit(0.0))))
     return x.select("v", "o", (F.col("x") / F.sum("x").over(Window.partitionBy("v"))).alias("m"))

@@ -61,11 +61,21 @@ def w04(s, d):
     return u.select("q", "func", "lib", F.round(F.exp("r") / F.sum(F.exp("r")).over(Window.partitionBy("q")), 6).alias("prior"))
 
 
-@query("j07_candidate_edge_admission", f"""WITH {CAND}, e AS (SELECT DISTINCT (event_id % 25) * 20 AS qs, (user_id % 25) * 20 AS qd, 'f' || (event_id % 40) AS fs, 'f' || (user_id % 40) AS fd FROM events)
+# Calls between query functions: an event joins two of all the query ids 0, 20, 40, ... up to the largest.
+_CALLS = "calls AS (SELECT (event_id % k) * 20 AS a, (user_id % k) * 20 AS b, k, event_id, user_id FROM events, (SELECT max(pos) // 20 + 1 AS k FROM fn))"
+
+
+def calls(s, d):
+    """(a, b, k, event_id, user_id): the calls between query functions, of which there are k."""
+    k = fn(s, d).agg(F.floor(F.max("pos") / 20).cast("long") + 1).scalar()
+    ev = table(s, d, "events").select("event_id", "user_id", k.alias("k"))
+    return ev.select(((F.col("event_id") % F.col("k")) * 20).alias("a"), ((F.col("user_id") % F.col("k")) * 20).alias("b"), "k", "event_id", "user_id")
+
+
+@query("j07_candidate_edge_admission", f"""WITH {CAND}, {_CALLS}, e AS (SELECT DISTINCT a AS qs, b AS qd, 'f' || (event_id % 40) AS fs, 'f' || (user_id % 40) AS fd FROM calls)
 SELECT e.qs, e.qd, e.fs, e.fd FROM e WHERE qs <> qd AND EXISTS (SELECT 1 FROM cand c WHERE c.q = e.qs AND c.func = e.fs) AND EXISTS (SELECT 1 FROM cand c WHERE c.q = e.qd AND c.func = e.fd)""")
 def j07(s, d):
-    ev = table(s, d, "events")
-    e = ev.select(((F.col("event_id") % 25) * 20).alias("qs"), ((F.col("user_id") % 25) * 20).alias("qd"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("fs"), F.concat(F.lit("f"), F.col("user_id") % 40).alias("fd"))
+    e = calls(s, d).select(F.col("a").alias("qs"), F.col("b").alias("qd"), F.concat(F.lit("f"), F.col("event_id") % 40).alias("fs"), F.concat(F.lit("f"), F.col("user_id") % 40).alias("fd"))
     c = cand(s, d).select("q", "func").distinct()
     e = e.filter("qs <> qd").distinct()
     return e.join(c.select(F.col("q").alias("qs"), F.col("func").alias("fs")), ["qs", "fs"], "left_semi").join(c.select(F.col("q").alias("qd"), F.col("func").alias("fd")), ["qd", "fd"], "left_semi").select("qs", "qd", "fs", "fd")
@@ -85,8 +95,8 @@ def j08(s, d):
 
 # A small factor graph: query functions are variables, calls between them pair factors.
 _FG = f"""{PRIOR}, opt AS (SELECT q AS v, row_number() OVER (PARTITION BY q ORDER BY func = 'None', func, lib) AS o, prior AS pr, func FROM prior),
-pairs AS (SELECT DISTINCT (event_id % 25) * 20 AS a, (user_id % 25) * 20 AS b FROM events WHERE event_id % 25 <> user_id % 25),
-f AS (SELECT a * 1000 + b AS fid, p.a, p.b, x.o AS i, y.o AS j, CASE WHEN x.func <> 'None' AND y.func <> 'None' AND (CAST(substr(x.func, 2) AS INT) + CAST(substr(y.func, 2) AS INT)) % 3 = 0 THEN 0.9 ELSE 0.1 END AS pot FROM pairs p JOIN opt x ON x.v = p.a JOIN opt y ON y.v = p.b)"""
+{_CALLS}, pairs AS (SELECT DISTINCT a, b, k FROM calls WHERE a <> b),
+f AS (SELECT p.a * 20 * p.k + p.b AS fid, p.a, p.b, x.o AS i, y.o AS j, CASE WHEN x.func <> 'None' AND y.func <> 'None' AND (CAST(substr(x.func, 2) AS INT) + CAST(substr(y.func, 2) AS INT)) % 3 = 0 THEN 0.9 ELSE 0.1 END AS pot FROM pairs p JOIN opt x ON x.v = p.a JOIN opt y ON y.v = p.b)"""
 
 
 def _rounds_sql(n):
@@ -104,12 +114,11 @@ def _factor_graph(s, d):
     p = belief.rank_prior(cand(s, d))
     w = Window.partitionBy("q").orderBy(F.col("func") == "None", "func", "lib")
     opt = p.select(F.col("q").alias("v"), F.row_number().over(w).cast("long").alias("o"), F.col("prior").alias("pr"), "func")
-    ev = table(s, d, "events").filter("event_id % 25 <> user_id % 25")
-    pairs = ev.select(((F.col("event_id") % 25) * 20).alias("a"), ((F.col("user_id") % 25) * 20).alias("b")).distinct()
+    pairs = calls(s, d).filter("a <> b").select("a", "b", "k").distinct()
     x, y = opt.select(F.col("v").alias("a"), F.col("o").alias("i"), F.col("func").alias("fx")), opt.select(F.col("v").alias("b"), F.col("o").alias("j"), F.col("func").alias("fy"))
     num = lambda c: F.expr(f"try_cast(substr({c}, 2) as int)")
     hit = (F.col("fx") != "None") & (F.col("fy") != "None") & ((num("fx") + num("fy")) % 3 == 0)
-    f = pairs.join(x, "a").join(y, "b").select((F.col("a") * 1000 + F.col("b")).alias("fid"), "a", "b", "i", "j", F.when(hit, 0.9).otherwise(0.1).alias("pot"))
+    f = pairs.join(x, "a").join(y, "b").select((F.col("a") * 20 * F.col("k") + F.col("b")).alias("fid"), "a", "b", "i", "j", F.when(hit, 0.9).otherwise(0.1).alias("pot"))
     return opt, f
 
 
