@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The norm is bound by an outer transform: inside the inner one it would be taken again for each component.
+    scaled = lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from braidscan.functions import fuzzy, hashes, vectors
-from braidscan.operators import belief, embed, graph, knn, walks
+from braidscan.operators import alike, belief, embed, graph, knn, walks
 from braidscan.operators.components import connected_components
 from braidscan.sources import graphs
 
@@ -169,3 +169,48 @@ def test_stride_sample_of_an_almost_empty_table(spark, tmp_path):
     rows = spark.createDataFrame([(i, [1.0] * 64, 0) for i in range(20)], "vec_id long, embedding array<float>, label int")
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert entry_points.queries()["w12_stride_sample"](spark, str(tmp_path)).count() == 0
+
+
+def _chains(spark, folder):
+    """Vectors of 64 components in chains: neighbours are alike, vectors two apart are not; some are copies."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(40):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        rows += [np.cos(0.004 * k) * a + np.sin(0.004 * k) * b for k in range(5)]
+    rows += rows[:20]
+    order = rng.permutation(len(rows))
+    table = [(i, rows[at].tolist(), int(at) % 5) for i, at in enumerate(order)]
+    spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def _same_as_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in os.listdir(folder):
+        con.sql(f"create view {t.split('.')[0]} as select * from '{folder}/{t}/*.parquet'")
+    got = entry_points.queries()[name](spark, str(folder))
+    rel = con.sql(entry_points.oracle_sql()[name])
+    order = sorted(got.columns)
+    assert sorted(rel.columns) == order
+    return sorted([tuple(r[c] for c in order) for r in got.collect()]) == sorted(tuple(dict(zip(rel.columns, r))[c] for c in order) for r in rel.fetchall())
+
+
+def test_groups_are_by_the_smallest_alike_id_and_not_by_chains(spark, tmp_path):
+    _chains(spark, tmp_path)
+    assert _same_as_sql(spark, tmp_path, "a01_near_identical_groups")
+
+
+def test_smallest_alike_equals_brute_force_however_sets_are_halved(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(60, 6)), 10, axis=0)
+    x[300:] += rng.normal(scale=0.002, size=(300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] = np.nan
+    ids, ask = rng.permutation(600), rng.random(600) < 0.8
+    hit = x @ x.T > 0.99999
+    want = [min([ids[i], *ids[hit[i]]]) if ask[i] else ids[i] for i in range(600)]
+    for pairs in (1 << 21, 500, 20):
+        monkeypatch.setattr(alike, "PAIRS", pairs)
+        assert alike.smallest_alike(ids, x, ask, 0.99999).tolist() == want
