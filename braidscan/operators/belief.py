@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidscan.functions.vectors import close
 from braidscan.runtime import Scratch
 
+#: The logarithm that stands for zero, so that a zero can be taken out of a product again.
+NOTHING = -1e8
+
 
 def rank_prior(cand: DataFrame, sure: float = 0.99) -> DataFrame:
     """(q, func, lib, prior) with the option None last: a softmax of ranks by similarity, sure matches ten higher.
@@ -35,29 +41,91 @@ def string_evidence(pairs: DataFrame, strict: bool = False) -> DataFrame:
     return pairs.select("q", "c", shared.alias("shared"), differ.alias("differ"), (shared - differ).alias("exponent"))
 
 
+def _log(x: Column) -> Column:
+    return F.when(x > 0, F.ln(x)).otherwise(F.lit(NOTHING))
+
+
+def _rows(lists: pa.Array) -> tuple[np.ndarray, ...]:
+    """The row of each struct in a column of lists, and the structs' fields."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), n), *(x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+
+
+def _log_sum(group: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    """The logarithm of each group's sum of exponentials, shifted by its largest."""
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, group, x)
+    return top + np.log(np.bincount(group, np.exp(x - top[group]), n))
+
+
+def _exchange(batch: pa.RecordBatch, damping: float) -> list[pa.Array]:
+    """The new messages to both ends of a batch of factors, as lists of (o, l) whose exponentials sum to one."""
+    row, i, j, pot = _rows(batch["cells"])
+    own = {x: (_rows(batch[f"held_{x}"]), _rows(batch[f"to_{x}"])) for x in "ab"}
+    names = np.unique(np.concatenate([i, j, *(part[1] for both in own.values() for part in both)]))
+    code = lambda r, o: r * max(len(names), 1) + np.searchsorted(names, o)
+    at, known, sent, before = {"a": code(row, i), "b": code(row, j)}, {}, {}, {}
+    for x, (held, old) in own.items():
+        options = code(*held[:2])
+        order = np.argsort(options)
+        pos = np.searchsorted(options, at[x], sorter=order)
+        hit = order[np.minimum(pos, len(order) - 1)] if len(order) else np.zeros(len(row), int)
+        known[x] = (options[hit] == at[x]) if len(order) else np.zeros(len(row), bool)
+        before[x] = np.zeros(len(row))  # every message is one before the first round
+        if len(old[0]):
+            ends = code(*old[:2])  # sorted, as they were written below
+            back = np.minimum(np.searchsorted(ends, at[x]), len(ends) - 1)
+            before[x] = np.where(ends[back] == at[x], old[2][back], 0.0)
+        sent[x] = (held[2][hit] - before[x]) if len(order) else before[x]
+    out = []
+    for x, other in (("a", "b"), ("b", "a")):
+        hears = known[other]
+        ends, first, group = np.unique(at[x][hears], return_index=True, return_inverse=True)
+        new, r = _log_sum(group, len(ends), (pot + sent[other])[hears]), ends // max(len(names), 1)
+        new -= _log_sum(r, batch.num_rows, new)[r]
+        if damping:
+            new = np.logaddexp(new + np.log1p(-damping), before[x][hears][first] + np.log(damping))
+        pairs = pa.StructArray.from_arrays([pa.array(names[ends % max(len(names), 1)], pa.int64()), pa.array(new, pa.float64())], ["o", "l"])
+        out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(batch.num_rows + 1)), pa.int32()), pairs))
+    return out
+
+
 def propagate(opt: DataFrame, factors: DataFrame, rounds: int, damping: float = 0.0) -> DataFrame:
     """Synchronous belief propagation: opt (v, o, pr), factors (fid, a, b, i, j, pot) -> (v, o, m) marginals.
 
-    Messages are tables; products are sums of logarithms. Every round reads the last one's
-    messages several times, so it is cut by a table in the shared folder.
+    Messages are logarithms throughout, so that variables of many factors underflow nowhere; a factor's
+    potentials and messages are one row. Every round is cut by a table in the shared folder.
     """
     scratch = Scratch(opt.sparkSession, "belief")
-    opt, factors = scratch.put(opt, "options"), scratch.put(factors, "factors")
-    floor = F.lit(1e-300)
-    fr = factors.select("fid", F.col("a").alias("v"), F.col("i").alias("o")).union(factors.select("fid", F.col("b").alias("v"), F.col("j").alias("o"))).distinct().withColumn("m", F.lit(1.0))
+    prior = scratch.put(opt, "options").select("v", F.col("o").cast("long").alias("o"), _log(F.col("pr")).alias("l"))
+    cell = F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), _log(F.col("pot")).alias("l"))
+    none = F.lit(None).cast("array<struct<o:long,l:double>>")
+    state = scratch.put(factors.groupBy("fid", "a", "b").agg(F.collect_list(cell).alias("cells")), "round0").withColumns({"to_a": none, "to_b": none})
+    schema = state.schema
+
+    def held(messages):
+        ends = [messages.select(F.col(x).alias("v"), F.inline(f"to_{x}")) for x in "ab"]
+        heard = ends[0].unionByName(ends[1]).withColumn("known", F.lit(False))
+        x = prior.withColumn("known", F.lit(True)).unionByName(heard).groupBy("v", "o").agg(F.sum("l").alias("l"), F.max("known").alias("known"))
+        return x.filter("known").drop("known")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("fid", "a", "b", "cells")), *_exchange(b, damping)], ["fid", "a", "b", "cells", "to_a", "to_b"])
+
     for t in range(1, rounds + 1):
-        bl = fr.groupBy("v", "o").agg(F.sum(F.ln(F.greatest("m", floor))).alias("lm"))
-        rf = fr.join(bl, ["v", "o"]).join(opt.select("v", "o", "pr"), ["v", "o"]).select("fid", "v", "o", F.exp(F.col("lm") - F.ln(F.greatest("m", floor)) + F.ln(F.greatest("pr", floor))).alias("m"))
-        to_a = factors.join(rf.select("fid", F.col("v").alias("b"), F.col("o").alias("j"), "m"), ["fid", "b", "j"]).groupBy("fid", F.col("a").alias("v"), F.col("i").alias("o")).agg(F.sum(F.col("pot") * F.col("m")).alias("m"))
-        to_b = factors.join(rf.select("fid", F.col("v").alias("a"), F.col("o").alias("i"), "m"), ["fid", "a", "i"]).groupBy("fid", F.col("b").alias("v"), F.col("j").alias("o")).agg(F.sum(F.col("pot") * F.col("m")).alias("m"))
-        new = to_a.unionByName(to_b).withColumn("m", F.col("m") / F.sum("m").over(Window.partitionBy("fid", "v")))
-        if damping:
-            new = new.join(fr.withColumnRenamed("m", "old"), ["fid", "v", "o"]).select("fid", "v", "o", (F.col("m") * (1 - damping) + F.col("old") * damping).alias("m"))
-        fr = scratch.put(new, f"round{t}")
+        ends = held(state) if t > 1 else prior
+        lists = scratch.put(ends.groupBy("v").agg(F.collect_list(F.struct("o", "l")).alias("held")), f"held{t}")
+        met = state
+        for x in "ab":
+            met = met.join(lists.select(F.col("v").alias(x), F.col("held").alias(f"held_{x}")), x)
+        state = scratch.put(met.select("fid", "a", "b", "cells", "to_a", "to_b", "held_a", "held_b").mapInArrow(run, schema), f"round{t}")
         scratch.drop(f"round{t - 1}")
-    held = fr.groupBy("v", "o").agg(F.sum(F.ln(F.greatest("m", floor))).alias("lm"))
-    x = opt.join(held, ["v", "o"], "left").withColumn("x", F.col("pr") * F.exp(F.coalesce("lm", F.lit(0.0))))
-    return x.select("v", "o", (F.col("x") / F.sum("x").over(Window.partitionBy("v"))).alias("m"))
+    end = held(state) if rounds else prior
+    w = Window.partitionBy("v")
+    x = end.withColumn("x", F.exp(F.col("l") - F.max("l").over(w)))
+    return x.select("v", "o", (F.col("x") / F.sum("x").over(w)).alias("m"))
 
 
 def max_exclusive(messages: DataFrame) -> DataFrame:

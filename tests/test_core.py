@@ -214,3 +214,33 @@ def test_smallest_alike_equals_brute_force_however_sets_are_halved(monkeypatch):
     for pairs in (1 << 21, 500, 20):
         monkeypatch.setattr(alike, "PAIRS", pairs)
         assert alike.smallest_alike(ids, x, ask, 0.99999).tolist() == want
+
+
+def _hub(spark, leaves):
+    """A variable of two options with so many factors that products of their messages underflow, and its exact marginals."""
+    prior = {v: (0.5, 0.5) if v == 0 else ((0.6, 0.4), (0.4, 0.6), (0.61, 0.39))[v % 3] for v in range(leaves + 1)}
+    pot = lambda i, j: 0.6 if i == j else 0.4
+    opt = spark.createDataFrame([(v, o, p, f"f{o}") for v, both in prior.items() for o, p in zip((1, 2), both)], "v long, o long, pr double, func string")
+    f = spark.createDataFrame([(v, 0, v, i, j, pot(i, j)) for v in range(1, leaves + 1) for i in (1, 2) for j in (1, 2)], "fid long, a long, b long, i long, j long, pot double")
+    part = {v: np.log([sum(pot(i, j) * prior[v][j - 1] for j in (1, 2)) for i in (1, 2)]) for v in range(1, leaves + 1)}
+    whole = np.log(prior[0]) + sum(part.values())
+    shift = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    want = {0: shift(whole)}
+    for v in range(1, leaves + 1):
+        rest = shift(whole - part[v])
+        want[v] = shift(np.log([prior[v][j - 1] * sum(pot(i, j) * rest[i - 1] for i in (1, 2)) for j in (1, 2)]))
+    return opt, f, want
+
+
+def test_belief_propagation_of_many_factors_does_not_underflow(spark):
+    opt, f, want = _hub(spark, 1500)
+    got = {(r.v, r.o): r.m for r in belief.propagate(opt.drop("func"), f, 2).collect()}
+    assert len(got) == 3002 and all(abs(got[v, o] - m[o - 1]) < 1e-9 for v, m in want.items() for o in (1, 2))
+
+
+def test_belief_propagation_takes_zeros_out_of_products_again(spark):
+    opt = spark.createDataFrame([(v, o, p) for v, both in enumerate([(0.5, 0.5), (0.9, 0.1), (0.3, 0.7), (1.0, 0.0)]) for o, p in zip((1, 2), both)], "v long, o long, pr double")
+    f = spark.createDataFrame([(b, 0, b, i, j, float(i == j)) for b in (1, 2, 3) for i in (1, 2) for j in (1, 2)], "fid long, a long, b long, i long, j long, pot double")
+    got = {(r.v, r.o): r.m for r in belief.propagate(opt.filter("v < 3"), f.filter("b < 3"), 2).collect()}
+    assert abs(got[0, 1] - 0.27 / 0.34) < 1e-9 and abs(got[1, 2] - 0.07 / 0.34) < 1e-9
+    assert {r.v: r.m for r in belief.propagate(opt, f, 2).filter("o = 1").collect()} == {v: 1.0 for v in range(4)}
