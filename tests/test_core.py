@@ -244,3 +244,12 @@ def test_belief_propagation_takes_zeros_out_of_products_again(spark):
     got = {(r.v, r.o): r.m for r in belief.propagate(opt.filter("v < 3"), f.filter("b < 3"), 2).collect()}
     assert abs(got[0, 1] - 0.27 / 0.34) < 1e-9 and abs(got[1, 2] - 0.07 / 0.34) < 1e-9
     assert {r.v: r.m for r in belief.propagate(opt, f, 2).filter("o = 1").collect()} == {v: 1.0 for v in range(4)}
+
+
+def test_best_options_of_a_variable_of_many_factors(spark, monkeypatch):
+    from braidscan.plans import q_infer
+
+    opt, f, want = _hub(spark, 1200)
+    monkeypatch.setattr(q_infer, "_factor_graph", lambda s, d: (opt, f))
+    got = sorted((r.v, r.func) for r in q_infer.w05(spark, "").collect())
+    assert got == sorted((v, f"f{o}") for v, m in want.items() for o in (1, 2) if abs(m[o - 1] - m.max()) <= 1e-8 + 1e-5 * m.max())
