@@ -197,11 +197,19 @@ def j20(s, d):
     return nearest_by(q, f.select(F.col("pos").alias("n"), "v"), 1, "euclid", 7).select("q", F.col("n").alias("nearest"))
 
 
+#: Words that one task of the word vectors' training reads, one after the other.
+PASS_WORDS = 1 << 22
+
+
 @query("m04_word2vec_size")
 def m04(s, d):
-    """Skip-gram vectors of frequent words (trained, so rows only)."""
+    """Skip-gram vectors of frequent words (trained, so rows only).
+
+    Tasks of about PASS_WORDS words learn side by side from the same start, and their vectors are averaged.
+    """
     from pyspark.ml.feature import Word2Vec
 
-    docs = table(s, d, "documents").select(F.split(F.lower("text"), "\\s+").alias("words"))
-    model = Word2Vec(vectorSize=8, minCount=50, maxIter=1, seed=7, inputCol="words", outputCol="v").fit(docs)
+    docs = table(s, d, "documents").filter("text is not null").select(F.split(F.lower("text"), "\\s+").alias("words"))
+    n = docs.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+    model = Word2Vec(vectorSize=8, minCount=50, maxIter=1, seed=7, inputCol="words", outputCol="v", numPartitions=max(1, -(-n // PASS_WORDS))).fit(docs)
     return model.getVectors().select("word", F.col("vector").cast("string").alias("vector"))

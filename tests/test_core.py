@@ -260,3 +260,18 @@ def test_ungrouping_returns_every_member_without_gathering_a_group(spark, tmp_pa
     assert _same_as_sql(spark, tmp_path, "a02_ungroup")
     plan = entry_points.queries()["a02_ungroup"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_word_vectors_learn_in_several_tasks_and_pass_null_texts(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    from braidscan.plans import q_text
+
+    tasks, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, *a: tasks.append(self.getNumPartitions()) or fit(self, *a))
+    monkeypatch.setattr(q_text, "PASS_WORDS", 1000, raising=False)
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(["a", "B", "b", "c", f"rare{i}"], k=40)) for i in range(80)]
+    spark.createDataFrame([*enumerate(texts), (80, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vector for r in q_text.m04(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b", "c"} and len(set(got.values())) == 3 and tasks == [4]
