@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Queries broadcast at a time.
 BLOCK = 4096
 
+#: Values of queries by library rows that a task holds at a time.
+CELLS = 1 << 20
+
 
 def _each(measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     """Distances of every query row to every library row, a query at a time."""
@@ -27,6 +30,19 @@ MEASURES = {
 }
 
 
+def _best(n: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest values of each row of v, NaN last; ties to the smaller n of their columns."""
+    if k < v.shape[1]:
+        # With fewer than k numbers in a row the bound is NaN, and nothing is above it.
+        row, at = np.nonzero(~(v > np.partition(v, k - 1, axis=1)[:, k - 1 : k]))
+    else:
+        row, at = np.divmod(np.arange(v.size), max(v.shape[1], 1))
+    order = np.lexsort((n[at], v[row, at], row))
+    row, at = row[order], at[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], at[first]
+
+
 def _blocks(queries: DataFrame, library: DataFrame, measure: str, k: int | None, digits: int | None, skip_own: bool) -> DataFrame:
     """(q, n, x): the k best rows of each library batch for each query, or all of them."""
     spark = queries.sparkSession
@@ -42,14 +58,16 @@ def _blocks(queries: DataFrame, library: DataFrame, measure: str, k: int | None,
                 if not b.num_rows:
                     continue
                 n = b.column(0).to_numpy()
-                s = MEASURES[measure](mat, np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
-                s = s if digits is None else np.round(s, digits)
-                q, at = np.repeat(ids, len(n)), np.tile(np.arange(len(n)), len(ids))
-                if k is not None:
-                    at = np.lexsort((np.broadcast_to(n, s.shape), sign * s), axis=1)[:, : k + skip_own]
-                    q, s, at = np.repeat(ids, at.shape[1]), np.take_along_axis(s, at, 1), at.ravel()
-                other = q != n[at] if skip_own else np.ones(len(q), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(q[other]), pa.array(n[at][other]), pa.array(s.ravel()[other])], schema=schema)
+                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                step = max(1, CELLS // len(n))
+                for top in range(0, len(ids), step):
+                    own = ids[top : top + step]
+                    s = MEASURES[measure](mat[top : top + step], x)
+                    s = s if digits is None else np.round(s, digits)
+                    row, at = np.divmod(np.arange(s.size), len(n)) if k is None else _best(n, sign * s, k + skip_own)
+                    q, s = own[row], s[row, at]
+                    other = q != n[at] if skip_own else np.ones(len(q), bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[other]), pa.array(n[at][other]), pa.array(s[other])], schema=schema)
 
         return library.select(F.col("n").cast("long"), "v").mapInArrow(run, "q long, n long, x double")
 

@@ -10,7 +10,7 @@ from braidscan.operators import belief
 from braidscan.operators.knn import exact_topk
 from braidscan.plans.register import query
 from braidscan.plans.standins import FN, fn
-from braidscan.runtime import table
+from braidscan.runtime import Scratch, table
 
 # Candidates: of each twentieth function the five most similar of the others, aliased like the pipeline does.
 CAND = f"""{FN}, knn AS (SELECT q.pos AS q, l.pos AS n, l.lib, round(list_dot_product(q.v, l.v), 6) AS sim FROM fn q JOIN fn l ON q.pos % 20 = 0 AND l.pos <> q.pos
@@ -114,6 +114,7 @@ def _factor_graph(s, d):
     p = belief.rank_prior(cand(s, d))
     w = Window.partitionBy("q").orderBy(F.col("func") == "None", "func", "lib")
     opt = p.select(F.col("q").alias("v"), F.row_number().over(w).cast("long").alias("o"), F.col("prior").alias("pr"), "func")
+    opt = Scratch(s, "factors").put(opt, "options")  # read up to four times, and each would search all vectors again
     pairs = calls(s, d).filter("a <> b").select("a", "b", "k").distinct()
     x, y = opt.select(F.col("v").alias("a"), F.col("o").alias("i"), F.col("func").alias("fx")), opt.select(F.col("v").alias("b"), F.col("o").alias("j"), F.col("func").alias("fy"))
     num = lambda c: F.expr(f"try_cast(substr({c}, 2) as int)")

@@ -275,3 +275,33 @@ def test_word_vectors_learn_in_several_tasks_and_pass_null_texts(spark, tmp_path
     spark.createDataFrame([*enumerate(texts), (80, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.word: r.vector for r in q_text.m04(spark, str(tmp_path)).collect()}
     assert set(got) == {"a", "b", "c"} and len(set(got.values())) == 3 and tasks == [4]
+
+
+def test_neighbour_search_holds_few_values_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v, kept = rng.integers(-3, 4, (10000, 4)).astype(float), []  # many ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "n long, v array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: kept.append(run) or spark.createDataFrame([], schema))
+    knn.exact_topk(df.filter("n < 3000").withColumnRenamed("n", "q"), df, 5, skip_own=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(v.tolist())], ["n", "v"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(kept[0](iter([batch]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    best = {}
+    for r in got:
+        best.setdefault(r["q"], []).append((-r["x"], r["n"]))
+    for q in range(0, 3000, 100):
+        assert sorted(best[q])[:5] == sorted((-x, n) for n, x in enumerate(v @ v[q]) if n != q)[:5]
+    assert len(best) == 3000 and peak < 200
+
+
+def test_factor_graph_searches_its_vectors_once(spark):
+    from braidscan.plans import q_infer
+
+    opt, f = q_infer._factor_graph(spark, SF)
+    assert not any("MapInArrow" in x._jdf.queryExecution().optimizedPlan().toString() for x in (opt, f))
