@@ -1,5 +1,6 @@
 """Gated recurrent language model over words, with corpus counts behind it.
 
+Chunks: every text is read and split once, into places in a list of its chunk's distinct words.
 Counts: every word of all training texts is counted (what is gathered grows with the corpus).
 Model: the MODEL_WORDS most frequent words and the end mark fall into classes by frequency, all
 other words into TAIL classes by their shape. A GRU reads the text; a softmax over classes,
@@ -22,11 +23,13 @@ Defined cases
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +44,13 @@ MODEL_WORDS, CLASS_WORDS, KNOWN_WORDS = 1024, 32, 200_000
 TAIL, UNITS, LANES, WINDOW, PACK_TOKENS = 32, 20, 256, 12, 3_000_000
 #: Lanes when weights stay as they are: how many changes no score.
 SCORE_LANES = 1024
+#: Rows whose class probabilities are computed at once.
+BLOCK = LANES * WINDOW
 #: Bounded sample of the warm start, in tokens and texts; its passes; how often weights are averaged; how many sums meet on the driver.
 WARM_TOKENS, WARM_TEXTS, WARM_PASSES, AVERAGINGS, SLOTS = 400_000, 20_000, 2, 4, 8
-#: Distinct words a worker counts before it lets go.
-HELD = 200_000
+#: Distinct words and tokens above which a chunk ends; how its wide rows are written, lest many of them are held at once.
+CHUNK_WORDS, CHUNK_TOKENS = 100_000, 1_000_000
+WIDE_ROWS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 CLASSES = MODEL_WORDS // CLASS_WORDS + TAIL
 F32 = np.float32
 
@@ -54,34 +60,100 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def shape(word: bytes) -> int:
-    """The tail class: accents, how the word ends, how long it is."""
-    last = word[-1]
-    end = 0 if 97 <= last <= 122 or last >= 128 else 1 if last in b".,;:?" else 2 if 48 <= last <= 57 else 3
-    return (0 if word.isascii() else 16) + 4 * end + min(3, (len(word) - 1) // 4)
+def shapes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The tail class of each word data[bounds[i] : bounds[i + 1]], none empty: accents, how it ends, how long it is."""
+    last = data[bounds[1:] - 1]
+    point = np.isin(last, np.frombuffer(b".,;:?", np.uint8))
+    digit = (last >= 48) & (last <= 57)
+    letter = ((last >= 97) & (last <= 122)) | (last >= 128)
+    end = np.select([letter, point, digit], [0, 1, 2], 3)
+    accents = np.concatenate(([0], np.cumsum(data >= 128)))
+    size = np.minimum(3, (np.diff(bounds) - 1) // 4)
+    return (16 * (accents[bounds[1:]] > accents[bounds[:-1]]) + 4 * end + size).astype(np.int32)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all docs; the end mark is the empty word."""
-    schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words and where each begins, the end at last."""
+    if not len(words):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    words = words.cast(pa.string())
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8)[: at[-1]], at
+
+
+class Chunk:
+    """Texts as places in the list of their distinct words; the end mark is the empty word, at place 0."""
+
+    def __init__(self):
+        self.place: defaultdict = defaultdict()
+        self.place.default_factory = self.place.__len__
+        self.place[b""] = 0
+        self.ids, self.sizes, self.doc_ids, self.learns = array("I"), [], [], []
+
+    def add(self, doc_id: int | None, text: bytes | None, learns: bool) -> None:
+        words = words_of(text)
+        self.ids.extend(map(self.place.__getitem__, words))
+        self.ids.append(0)
+        self.sizes.append(len(words) + 1)
+        self.doc_ids.append(doc_id)
+        self.learns.append(learns)
+
+    def full(self) -> bool:
+        return len(self.place) > CHUNK_WORDS or len(self.ids) >= CHUNK_TOKENS
+
+    def row(self) -> list:
+        """doc_ids, sizes, ids, words (no word holds a line feed), how often the texts to learn from hold each."""
+        self.place.default_factory = None
+        ids, sizes = np.frombuffer(self.ids, np.uint32), np.array(self.sizes, np.int64)
+        times = np.bincount(ids[np.repeat(self.learns, sizes)], minlength=len(self.place))
+        return [self.doc_ids, sizes.tobytes(), ids.tobytes(), b"\n".join(self.place), times.astype(np.uint32).tobytes()]
 
-    def rows(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+
+CHUNKS = pa.schema([("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("sizes", "ids", "words", "times"))])
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """A row for each Chunk of (doc_id, text, learns): every text is split here, once, for its counts and for the model."""
+
+    def row(chunk):
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(chunk.row(), CHUNKS)], schema=CHUNKS)
 
     def run(batches):
-        c: Counter = Counter()
+        chunk = Chunk()
         for b in batches:
-            for _, texts in _batches(b):
-                for t in texts:
-                    c.update(words_of(t))
-                    if len(c) > HELD:
-                        yield rows(c)
-                        c = Counter()
-                c[b""] += len(texts)
-        if c:
-            yield rows(c)
+            learns = iter(b.column(2).to_pylist())
+            for doc_ids, texts in _batches(b):
+                for doc_id, text in zip(doc_ids, texts):
+                    chunk.add(doc_id, text, next(learns))
+                    if chunk.full():
+                        yield row(chunk)
+                        chunk = Chunk()
+        if chunk.sizes:
+            yield row(chunk)
+
+    return docs.select("doc_id", "text", "learns").mapInArrow(run, "doc_ids array<long>, sizes binary, ids binary, words binary, times binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def listed(words: bytes) -> pa.Array:
+    """The words of a chunk's row."""
+    raw = np.frombuffer(words, np.uint8)
+    cuts = np.flatnonzero(raw == 10)
+    bounds = np.concatenate(([0], cuts - np.arange(len(cuts)), [len(raw) - len(cuts)])).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw[raw != 10])])
+
+
+def count_words(parts: DataFrame) -> DataFrame:
+    """(word, c) over all texts to learn from, of their chunks; the end mark is the empty word."""
+    schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for words, times in zip(b.column(0), b.column(1)):
+                c = pa.array(np.frombuffer(times.as_py(), np.uint32).astype(np.int64))
+                rows = pa.RecordBatch.from_arrays([listed(words.as_py()), c], schema=schema)
+                yield rows.filter(pc.greater(c, 0))
+
+    return parts.select("words", "times").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -89,43 +161,39 @@ class Lexicon:
 
     def __init__(self, top: list[tuple[str, int]], total: int, distinct: int, tail: dict[int, tuple[int, int]]):
         self.total, self.distinct = total, distinct
-        self.index = {w.encode(): i for i, (w, _) in enumerate(top) if w}
+        self.index = {w.encode(): i for i, (w, _) in enumerate(top)}
         self.log_c = np.array([math.log10(c + 1) for _, c in top] + [0.0])
-        self.end = next((i for i, (w, _) in enumerate(top) if not w), len(top))
         # Model ids: the end mark is 0, then the most frequent words, then the tail classes.
-        model = np.empty(len(top) + 1, np.int32)
-        at = 1
-        for i, (w, _) in enumerate(top):
-            if i == self.end:
-                model[i] = 0
-            elif at < MODEL_WORDS:
-                model[i] = at
-                at += 1
-            else:
-                model[i] = MODEL_WORDS + shape(w.encode())
-        model[len(top)] = 0
+        model = np.zeros(len(top) + 1, np.uint16)
+        at = [i for i, (w, _) in enumerate(top) if w]
+        model[at[: MODEL_WORDS - 1]] = np.arange(1, 1 + len(at[: MODEL_WORDS - 1]))
+        rest = at[MODEL_WORDS - 1 :]
+        model[rest] = MODEL_WORDS + shapes(*bytes_of(pa.array([top[i][0] for i in rest], pa.string())))
         self.model = model
         self.tail_log = np.array([math.log10(sum(tail.get(k, (0, 0))) + 1) for k in range(TAIL)])
 
+    def encode(self, words: bytes, ids: np.ndarray, starts: np.ndarray):
+        """Of a chunk's texts: model ids of all tokens; by text the sum of known log10(c + 1), the same of tail words, known
+        tokens; then (text, place of its word, times) of rare words."""
+        split = words.split(b"\n")
+        at = np.fromiter(map(self.index.get, split, repeat(-1)), np.int64, len(split))
+        model, logs, known = self.model[at], self.log_c[at], at >= 0
+        rare = ~known
+        rare[0] = False  # the end mark
+        model[rare] = MODEL_WORDS + shapes(*bytes_of(listed(words).filter(pa.array(rare))))
+        by_word = (logs, np.where(model >= MODEL_WORDS, logs, 0.0), known.astype(np.int64))
+        sums = [np.add.reduceat(x.take(ids), starts) for x in by_word]
+        place = np.flatnonzero(rare.take(ids))
+        text = np.searchsorted(starts, place, "right") - 1
+        found, times = np.unique(text * len(at) + ids[place], return_counts=True)
+        return model.take(ids), *sums, (found // len(at), found % len(at), times)
+
     def read(self, text: bytes | None):
-        """(model ids with the end mark, sum of known log10(c + 1), the same of tail words, known, rare words)."""
-        ws = words_of(text)
-        at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
-        ids = np.empty(len(ws) + 1, np.int32)
-        ids[:-1] = self.model[at]
-        ids[-1] = 0
-        rare = np.flatnonzero(at < 0)
-        unknown = [ws[j] for j in rare.tolist()]
-        found = Counter(unknown)
-        if unknown:
-            classes = {w: MODEL_WORDS + shape(w) for w in found}
-            ids[rare] = list(map(classes.__getitem__, unknown))
-        known = at[at >= 0]
-        logs = self.log_c[known]
-        has_end = self.end < len(self.model) - 1
-        base = float(logs.sum()) + (float(self.log_c[self.end]) if has_end else 0.0)
-        tail = float(logs[self.model[known] >= MODEL_WORDS].sum())
-        return ids, base, tail, len(known) + has_end, found
+        """The same of one text."""
+        chunk = Chunk()
+        chunk.add(None, text, False)
+        _, _, ids, words, _ = chunk.row()
+        return self.encode(words, np.frombuffer(ids, np.uint32), np.zeros(1, np.int64))
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -178,38 +246,48 @@ class Gru:
         out |= {"wh": out["gates"][:UNITS], "uc": out["classes"][:UNITS], "uw": out["words"].reshape(MODEL_WORDS, UNITS + 1)[:, :UNITS]}
         return out
 
-    def forward(self, h: np.ndarray, inputs: np.ndarray):
-        """States after each step of a window (steps, lanes), with what the backward pass needs."""
+    def forward(self, h: np.ndarray, inputs: np.ndarray, keep: bool = True):
+        """States after each step of a window (steps, units, lanes), with what the backward pass needs, of the last step unless kept.
+
+        Lanes come last, so that the parts of the gates are flat arrays.
+        """
         w, n, (u, lanes) = self.w, UNITS, inputs.shape
-        live = (inputs != self.INPUTS - 1).astype(F32)[:, :, None]
-        xs = w["x"].take(inputs, axis=0)
-        hs, prev, c = np.empty((u + 1, lanes, n), F32), np.ones((u, lanes, n + 1), F32), np.empty((u, lanes, n), F32)
-        a, zr = np.empty((u, lanes, 3 * n), F32), np.empty((u, lanes, 2 * n), F32)
+        live = (inputs != self.INPUTS - 1).astype(F32)
+        held = u if keep else 1
+        hs, prev, c = np.empty((u + 1, n, lanes), F32), np.ones((held, n + 1, lanes), F32), np.empty((held, n, lanes), F32)
+        a, zr = np.empty((held, 3 * n, lanes), F32), np.empty((held, 2 * n, lanes), F32)
+        gates = w["gates"].T
         hs[0] = h
         for t in range(u):
-            np.multiply(hs[t], live[t], out=prev[t, :, :n])
-            np.matmul(prev[t], w["gates"], out=a[t])
-            g = zr[t]
-            np.add(xs[t, :, : 2 * n], a[t, :, : 2 * n], out=g)
+            at = t % held
+            before, g, new = prev[at, :n], zr[at], c[at]
+            np.multiply(hs[t], live[t], out=before)
+            np.matmul(gates, prev[at], out=a[at])
+            x = w["x"].take(inputs[t], axis=0).T
+            np.add(x[: 2 * n], a[at, : 2 * n], out=g)
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += F32(1)
             np.reciprocal(g, out=g)
-            new = c[t]
-            np.multiply(g[:, n:], a[t, :, 2 * n :], out=new)
-            new += xs[t, :, 2 * n :]
+            np.multiply(g[n:], a[at, 2 * n :], out=new)
+            new += x[2 * n :]
             np.tanh(new, out=new)
-            np.subtract(prev[t, :, :n], new, out=hs[t + 1])
-            hs[t + 1] *= g[:, :n]
+            np.subtract(before, new, out=hs[t + 1])
+            hs[t + 1] *= g[:n]
             hs[t + 1] += new
         return hs, (live, prev, zr, c, a)
 
+    @staticmethod
+    def _bound(weights: np.ndarray) -> float:
+        """What no product of a state, within -1 and 1, and a row of weights exceeds."""
+        return (UNITS + 1) * max(float(weights.max()), -float(weights.min()))
+
     @staticmethod
     def _softmax(x: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities of the entries `own`, and the sums by which x, from now on exponentials, is to be divided."""
         if bound > 60:  # else no sum can leave the range of single precision
             np.clip(x, -60, 60, out=x)
-        at = x[np.arange(len(x)), own]
+        at = x.take(np.arange(0, x.size, x.shape[1]) + own)
         np.exp(x, out=x)
         total = x @ np.ones(x.shape[1], F32)
         return at - np.log(total), total
@@ -223,8 +301,13 @@ class Gru:
         held[:, :UNITS] = hid.take(order, axis=0)
         cls, target = cls[order], target[order]
         cuts = np.searchsorted(cls, np.arange(self.INNER + 1))
-        logits = held @ w["classes"]
-        logs, total = self._softmax(logits, cls, float(np.abs(w["classes"]).sum(0).max()))
+        bound = self._bound(w["classes"])
+        logits, total, logs = np.empty((min(rows, BLOCK), CLASSES), F32), np.empty(0, F32), np.empty(rows, F32)
+        for k in range(0, rows, BLOCK):  # one block when weights learn
+            part = slice(k, min(rows, k + BLOCK))
+            logits = logits[: part.stop - k]
+            np.matmul(held[part], w["classes"], out=logits)
+            logs[part], total = self._softmax(logits, cls[part], bound)
         m = int(cuts[-1])  # rows that have a word of the model
         inner = np.empty((m, CLASS_WORDS), F32)
         parts = [(k, slice(x, y)) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
@@ -232,23 +315,28 @@ class Gru:
             np.matmul(held[part], w["words"][k].T, out=inner[part])
         own = target[:m] - cls[:m].astype(target.dtype) * CLASS_WORDS
         if m:
-            more, inner_total = self._softmax(inner, own, float(np.abs(w["words"]).sum(2).max()))
+            more, inner_total = self._softmax(inner, own, self._bound(w["words"]))
             logs[:m] += more
         out = np.empty(rows, F32)
         out[order] = logs
         if slope is None:
             return out, None
-        logits *= (1 / total)[:, None]
-        logits[np.arange(rows), cls] -= 1
-        np.matmul(held.T, logits, out=slope["classes"])
+        # The slope is (logits - total where own) / total; states are divided, as they are the narrower ones.
+        share = (1 / total)[:, None]
+        logits[np.arange(rows), cls] -= total
+        np.matmul((held * share).T, logits, out=slope["classes"])
         d = logits @ w["uc"].T
+        d *= share
         slope["words"][:] = 0
         if m:
             inner *= (1 / inner_total)[:, None]
             inner[np.arange(m), own] -= 1
+            d_inner = np.empty((m, UNITS), F32)
             for k, part in parts:
-                np.matmul(inner[part].T, held[part], out=slope["words"][k])
-                d[part] += inner[part] @ w["words"][k, :, :UNITS]
+                x = inner[part]
+                np.matmul(x.T, held[part], out=slope["words"][k])
+                np.matmul(x, w["words"][k, :, :UNITS], out=d_inner[part])
+            d[:m] += d_inner
         d_hid = np.empty_like(d)
         d_hid[order] = d
         return out, d_hid
@@ -257,31 +345,39 @@ class Gru:
         """Through the window's steps only: the truncation."""
         n, (u, lanes) = UNITS, inputs.shape
         live, prev, zr, c, a = kept
-        z, r = zr[:, :, :n], zr[:, :, n:]
-        to_z = (prev[:, :, :n] - c) * z * (1 - z)
-        to_c = (1 - z) * (1 - c * c)
-        to_r = a[:, :, 2 * n :] * r * (1 - r)
-        gx, ga = np.empty((u, lanes, 3 * n), F32), np.empty((u, lanes, 3 * n), F32)
-        back = np.ascontiguousarray(self.w["wh"].T)
-        dh = np.zeros((lanes, n), F32)
+        gx, ga = np.empty((u, lanes, 3 * n), F32), np.empty((u, 3 * n, lanes), F32)
+        dh, g = np.zeros((n, lanes), F32), np.empty((3 * n, lanes), F32)
+        stay, part = np.empty((n, lanes), F32), np.empty((n, lanes), F32)
         for t in range(u - 1, -1, -1):
-            dh += d_out[t]
-            g = gx[t]
-            np.multiply(dh, to_z[t], out=g[:, :n])
-            np.multiply(dh, to_c[t], out=g[:, 2 * n :])
-            np.multiply(g[:, 2 * n :], to_r[t], out=g[:, n : 2 * n])
-            ga[t, :, : 2 * n] = g[:, : 2 * n]
-            np.multiply(g[:, 2 * n :], r[t], out=ga[t, :, 2 * n :])
-            dh *= z[t]
-            dh += ga[t] @ back
+            # Slopes of the gates before their curves, step by step, as a step's arrays are small enough to stay near the CPU.
+            z, r, new = zr[t, :n], zr[t, n:], c[t]
+            dh += d_out[t].T
+            np.subtract(1, z, out=stay)
+            stay *= dh
+            np.subtract(prev[t, :n], new, out=part)
+            part *= z
+            np.multiply(part, stay, out=g[:n])
+            np.multiply(new, new, out=part)
+            np.subtract(1, part, out=part)
+            to_c = g[2 * n :]
+            np.multiply(part, stay, out=to_c)
+            ga_c = ga[t, 2 * n :]
+            np.multiply(to_c, r, out=ga_c)
+            np.subtract(1, r, out=part)
+            part *= a[t, 2 * n :]
+            np.multiply(part, ga_c, out=g[n : 2 * n])
+            ga[t, : 2 * n] = g[: 2 * n]
+            gx[t] = g.T
+            dh *= z
+            dh += self.w["wh"] @ ga[t]
             dh *= live[t]
-        np.matmul(prev.reshape(-1, n + 1).T, ga.reshape(-1, 3 * n), out=slope["gates"])
+        np.matmul(prev, ga.transpose(0, 2, 1)).sum(0, out=slope["gates"])
         slope["x"][:] = 0
         read = inputs.ravel().astype(np.uint16)
         order = np.argsort(read, kind="stable")
         read = read[order]
         first = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
-        slope["x"][read[first]] = np.add.reduceat(gx.reshape(-1, 3 * n)[order], first, axis=0)
+        slope["x"][read[first]] = np.add.reduceat(gx.reshape(-1, 3 * n).take(order, axis=0), first, axis=0)
 
     def adam(self, rate: float) -> None:
         self.steps += 1
@@ -315,7 +411,7 @@ class Gru:
         reads[1:] = np.where(owner[1:] == owner[:-1], token[:-1], self.INPUTS - 1)
         sizes = np.array([sum(len(docs[d]) for d in ds) for ds in dealt])
         first = np.cumsum(sizes) - sizes
-        h = np.zeros((len(sizes), UNITS), F32)
+        h = np.zeros((UNITS, len(sizes)), F32)
         slope = None
         if rate:
             if self.m is None:
@@ -332,9 +428,9 @@ class Gru:
                 place, live = place[live], live.ravel()
             else:
                 inputs, place = reads[place], place.ravel()
-            hs, kept = self.forward(h[:lanes], inputs)
+            hs, kept = self.forward(h[:, :lanes], inputs, bool(rate))
             h = hs[-1]
-            hid, target = hs[1:].reshape(-1, UNITS), token[place]
+            hid, target = hs[1:].transpose(0, 2, 1).reshape(-1, UNITS), token[place]
             hid = hid if live is None else hid[live]
             logs, d_hid = self.outputs(hid, target, slope)
             scores += np.bincount(owner[place], weights=logs, minlength=len(docs))
@@ -349,29 +445,28 @@ class Gru:
         return scores
 
 
-def _encoded(docs: DataFrame, lexicon) -> DataFrame:
-    """A row for each text: its model ids (16 bits each), sums over known words, and its rare words."""
+def _encoded(parts: DataFrame, lexicon) -> DataFrame:
+    """A row for each text of the chunks: its model ids (16 bits each), sums over known words, and its rare words."""
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("rare", rare_type)])
 
     def run(batches):
         lex, seq = lexicon.value, TaskContext.get().partitionId() << 40
         for b in batches:
-            for doc_ids, texts in _batches(b):
-                rows, words, times, ends = [], [], [], [0]
-                for i, t in zip(doc_ids, texts):
-                    ids, base, tail, known, rare = lex.read(t)
-                    rows.append((seq, i, ids.astype(np.uint16).tobytes(), known, base, tail))
-                    words += rare.keys()
-                    times += rare.values()
-                    ends.append(len(words))
-                    seq += 1
-                pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["word", "k"])
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], schema=schema)
+            for i in range(b.num_rows):
+                sizes, ids = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in ((1, np.int64), (2, np.uint32)))
+                words, n = b.column(3)[i].as_py(), len(sizes)
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                model, base, tail, known, (text, place, times) = lex.encode(words, ids, ends[:-1])
+                pairs = pa.StructArray.from_arrays([listed(words).take(pa.array(place)), pa.array(times, pa.int64())], names=["word", "k"])
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pairs)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(model)])
+                row = pa.array(np.arange(seq, seq + n), pa.int64())
+                yield pa.RecordBatch.from_arrays([row, b.column(0)[i].values, raw, pa.array(known), pa.array(base), pa.array(tail), rare], schema=schema)
+                seq += n
 
     ddl = "row long, doc_id long, ids binary, known long, base double, tail double, rare array<struct<word:string,k:long>>"
-    return docs.mapInArrow(run, ddl)
+    return parts.select("doc_ids", "sizes", "ids", "words").mapInArrow(run, ddl)
 
 
 def _packs(batches):
@@ -455,9 +550,13 @@ def _tail_sums(counts: DataFrame, skip: DataFrame) -> dict[int, tuple[int, int]]
     schema = pa.schema([("cls", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
+        n, v = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
         for b in batches:
-            cls = [shape(w.encode()) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), b.column(1), pa.array([1] * len(cls), pa.int64())], schema=schema)
+            cls = shapes(*bytes_of(b.column(0)))
+            np.add.at(n, cls, b.column(1).to_numpy())
+            v += np.bincount(cls, minlength=TAIL)
+        own = np.flatnonzero(v).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(v[own])], schema=schema)
 
     tail = counts.filter("word <> ''").join(F.broadcast(skip), "word", "left_anti").select("word", "c").mapInArrow(run, "cls int, n long, v long")
     return {r["cls"]: (r["n"], r["v"]) for r in tail.groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
@@ -469,15 +568,17 @@ def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     scratch = Scratch(spark, "lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold_of = F.crc32(F.col("doc_id").cast("string")) % fold
-    learns = docs.filter(fold_of != held)
-    counts = scratch.put(count_words(learns), "counts")
+    learns = F.coalesce(fold_of != held, F.lit(False)).alias("learns")
+    texts = scratch.put(chunks(docs.select("doc_id", "text", learns)), "chunks", **WIDE_ROWS)
+    counts = scratch.put(count_words(texts), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
     top = [(r["word"], r["c"]) for r in frequent(counts, F.col("c"), KNOWN_WORDS)]
     model_words = [w for w, _ in top if w][: MODEL_WORDS - 1]
     skip = spark.createDataFrame([(w,) for w in model_words], "word string")
     lexicon = Lexicon(top, total, distinct, _tail_sums(counts, skip))
-    part = scratch.put(_encoded(docs, spark.sparkContext.broadcast(lexicon)), "encoded")
+    part = scratch.put(_encoded(texts, spark.sparkContext.broadcast(lexicon)), "encoded")
+    scratch.drop("chunks")
     gru = train(part.filter(fold_of != held))
 
     shared = spark.sparkContext.broadcast((gru.flat, lexicon.tail_log))

@@ -84,9 +84,9 @@ class Scratch:
         self.root = f"{shared_root(spark).rstrip('/')}/braidscan-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove, spark, self.root)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -475,3 +475,64 @@ def test_addresses_stay_apart_and_mails_link_without_case():
     public, other = {f"{a}.{b}.9.9" for a in (1, 10, 223) for b in range(200)}, {f"{a}.{b}.9.9" for a in (0, 224, 255) for b in range(200)}
     moved = {names.rewrite(x)[0] for x in public | other}
     assert len(moved) == 1200 and names.rewrite("Ann@X-y.org")[0].lower() == names.rewrite("ann@x-Y.org")[0].lower()
+
+
+def test_the_language_model_reads_and_splits_every_text_once(spark, tmp_path):
+    log = tmp_path / "rows"
+
+    def seen(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    texts = EDGE + [f"the cat sat on mat {i % 3} end" for i in range(20)]
+    docs = docs_of(spark, texts).select("doc_id", "text").mapInArrow(seen, "doc_id long, text string")
+    assert lm.score_documents(docs).count() == len(texts)
+    assert len(log.read_text()) == len(texts)
+
+
+def test_chunks_hold_all_words_and_the_counts_of_texts_to_learn_from():
+    texts = [t and t.encode() for t in EDGE] + [b"The cat, 2024 (a) caf\xc3\xa9 the \x0b zz\x1c"]
+    chunk = lm.Chunk()
+    for i, t in enumerate(texts):
+        chunk.add(i, t, i % 2 == 1)
+    doc_ids, sizes, ids, blob, times = chunk.row()
+    sizes, ids, times, words = np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.uint32), np.frombuffer(times, np.uint32), blob.split(b"\n")
+    want = [[*(t or b"").lower().split(), b""] for t in texts]
+    assert doc_ids == list(range(len(texts))) and sizes.tolist() == [len(w) for w in want]
+    assert [words[i] for i in ids] == [x for w in want for x in w] and lm.listed(blob).to_pylist() == [w.decode() for w in words]
+    learned = collections.Counter(x for w in want[1::2] for x in w)
+    assert dict(zip(words, times.tolist())) == {w: learned[w] for w in words}
+
+    lexicon = lm.Lexicon([("", 9), ("the", 8), ("word", 7)], 100, 10, {})
+    model, base, tail, known, rare = lexicon.encode(blob, ids, np.cumsum(sizes) - sizes)
+    # the cat, 2024 (a) café the zz\x1c and the end
+    assert model[-8:].tolist() == [1, *(lm.MODEL_WORDS + k for k in (4, 8, 12, 17)), 1, lm.MODEL_WORDS + 12, 0]
+    for i, w in enumerate(want):
+        logs = [math.log10({b"": 9, b"the": 8, b"word": 7}[x] + 1) for x in w if x in (b"", b"the", b"word")]
+        assert known[i] == len(logs) and math.isclose(base[i], sum(logs), rel_tol=1e-9) and tail[i] == 0
+        assert {words[p]: k for d, p, k in zip(*(x.tolist() for x in rare)) if d == i} == collections.Counter(x for x in w if x not in (b"", b"the", b"word"))
+
+
+def test_the_networks_slopes_are_those_of_its_loss():
+    rng = np.random.default_rng(3)
+    inputs = rng.integers(0, lm.Gru.INPUTS, (lm.WINDOW, 40))
+    target = rng.integers(0, lm.MODEL_WORDS + lm.TAIL, inputs.size)
+    net = lm.Gru()
+
+    def loss(net):
+        hs, _ = net.forward(np.zeros((lm.UNITS, 40), np.float32), inputs, False)
+        return -net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target)[0].sum(dtype=float)
+
+    net.slope = np.zeros(net.SIZE, np.float32)
+    slope = net._views(net.slope)
+    hs, kept = net.forward(np.zeros((lm.UNITS, 40), np.float32), inputs)
+    _, d = net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target, slope)
+    net.backward(inputs, hs, kept, d.reshape(lm.WINDOW, 40, lm.UNITS), slope)
+    for part in ("x", "gates", "classes", "words"):
+        way = np.zeros(net.SIZE, np.float32)
+        net._views(way)[part][:] = slope[part]
+        long = float(np.linalg.norm(way))
+        way *= np.float32(0.05 / long)
+        assert math.isclose((loss(lm.Gru(net.flat + way)) - loss(lm.Gru(net.flat - way))) / 0.1, long, rel_tol=0.02), part
