@@ -283,17 +283,17 @@ class Gru:
         return (UNITS + 1) * max(float(weights.max()), -float(weights.min()))
 
     @staticmethod
-    def _softmax(x: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probabilities of the entries `own`, and the sums by which x, from now on exponentials, is to be divided."""
+    def _softmax(x: np.ndarray, bound: float, own: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray]:
+        """Natural log probabilities of the entries `own`, if any, and the sums by which x, from now on exponentials, is to be divided."""
         if bound > 60:  # else no sum can leave the range of single precision
             np.clip(x, -60, 60, out=x)
-        at = x.take(np.arange(0, x.size, x.shape[1]) + own)
+        at = None if own is None else x.take(np.arange(0, x.size, x.shape[1]) + own)
         np.exp(x, out=x)
         total = x @ np.ones(x.shape[1], F32)
-        return at - np.log(total), total
+        return None if at is None else at - np.log(total), total
 
     def outputs(self, hid: np.ndarray, target: np.ndarray, slope: dict | None = None):
-        """Natural log probabilities of the targets (a tail word's share of its class left out)."""
+        """Natural log probabilities of the targets (a tail word's share of its class left out); or, where weights learn, the slopes of the states."""
         w, rows = self.w, len(target)
         cls = np.where(target < MODEL_WORDS, target // CLASS_WORDS, self.INNER + target - MODEL_WORDS).astype(np.uint16)
         order = np.argsort(cls, kind="stable")  # rows of a class lie together
@@ -307,30 +307,32 @@ class Gru:
             part = slice(k, min(rows, k + BLOCK))
             logits = logits[: part.stop - k]
             np.matmul(held[part], w["classes"], out=logits)
-            logs[part], total = self._softmax(logits, cls[part], bound)
+            if slope is None:
+                logs[part], total = self._softmax(logits, bound, cls[part])
+            else:
+                _, total = self._softmax(logits, bound)
         m = int(cuts[-1])  # rows that have a word of the model
         inner = np.empty((m, CLASS_WORDS), F32)
         parts = [(k, slice(x, y)) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
         for k, part in parts:
             np.matmul(held[part], w["words"][k].T, out=inner[part])
         own = target[:m] - cls[:m].astype(target.dtype) * CLASS_WORDS
-        if m:
-            more, inner_total = self._softmax(inner, own, self._bound(w["words"]))
-            logs[:m] += more
-        out = np.empty(rows, F32)
-        out[order] = logs
+        bound = self._bound(w["words"])
         if slope is None:
-            return out, None
+            logs[:m] += self._softmax(inner, bound, own)[0]
+            out = np.empty(rows, F32)
+            out[order] = logs
+            return out
         # The slope is (logits - total where own) / total; states are divided, as they are the narrower ones.
         share = (1 / total)[:, None]
-        logits[np.arange(rows), cls] -= total
+        logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + cls] -= total
         np.matmul((held * share).T, logits, out=slope["classes"])
         d = logits @ w["uc"].T
         d *= share
         slope["words"][:] = 0
         if m:
-            inner *= (1 / inner_total)[:, None]
-            inner[np.arange(m), own] -= 1
+            inner *= (1 / self._softmax(inner, bound)[1])[:, None]
+            inner.reshape(-1)[np.arange(0, inner.size, CLASS_WORDS) + own] -= 1
             d_inner = np.empty((m, UNITS), F32)
             for k, part in parts:
                 x = inner[part]
@@ -339,7 +341,7 @@ class Gru:
             d[:m] += d_inner
         d_hid = np.empty_like(d)
         d_hid[order] = d
-        return out, d_hid
+        return d_hid
 
     def backward(self, inputs, hs, kept, d_out, slope) -> None:
         """Through the window's steps only: the truncation."""
@@ -398,7 +400,7 @@ class Gru:
         self.flat -= part
 
     def run(self, docs: list[np.ndarray], rate: float | None = None) -> np.ndarray:
-        """Natural log probability of each document; with a rate, weights learn on the way."""
+        """Natural log probability of each document; with a rate, weights learn instead, and zeros return."""
         scores = np.zeros(len(docs))
         dealt = lanes_of(docs, LANES if rate else SCORE_LANES)
         if not dealt:
@@ -432,13 +434,14 @@ class Gru:
             h = hs[-1]
             hid, target = hs[1:].transpose(0, 2, 1).reshape(-1, UNITS), token[place]
             hid = hid if live is None else hid[live]
-            logs, d_hid = self.outputs(hid, target, slope)
-            scores += np.bincount(owner[place], weights=logs, minlength=len(docs))
-            if rate:
-                d_out = d_hid
+            out = self.outputs(hid, target, slope)
+            if not rate:
+                scores += np.bincount(owner[place], weights=out, minlength=len(docs))
+            else:
+                d_out = out
                 if live is not None:
                     d_out = np.zeros((inputs.size, UNITS), F32)
-                    d_out[live] = d_hid
+                    d_out[live] = out
                 self.backward(inputs, hs, kept, d_out.reshape(*inputs.shape, UNITS), slope)
                 self.slope *= F32(1 / 64)
                 self.adam(rate)

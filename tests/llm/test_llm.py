@@ -523,12 +523,12 @@ def test_the_networks_slopes_are_those_of_its_loss():
 
     def loss(net):
         hs, _ = net.forward(np.zeros((lm.UNITS, 40), np.float32), inputs, False)
-        return -net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target)[0].sum(dtype=float)
+        return -net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target).sum(dtype=float)
 
     net.slope = np.zeros(net.SIZE, np.float32)
     slope = net._views(net.slope)
     hs, kept = net.forward(np.zeros((lm.UNITS, 40), np.float32), inputs)
-    _, d = net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target, slope)
+    d = net.outputs(hs[1:].transpose(0, 2, 1).reshape(-1, lm.UNITS), target, slope)
     net.backward(inputs, hs, kept, d.reshape(lm.WINDOW, 40, lm.UNITS), slope)
     for part in ("x", "gates", "classes", "words"):
         way = np.zeros(net.SIZE, np.float32)
