@@ -38,7 +38,7 @@ from braidscan.runtime import Scratch
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
